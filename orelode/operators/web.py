@@ -188,22 +188,30 @@ PROJECT_COLUMNS = [
 ]
 
 
-def status_rows(companies: DataFrame, projects: DataFrame, retrieved_at) -> DataFrame:
-    """One row for each company without projects.
+def with_status_rows(companies: DataFrame, projects: DataFrame, retrieved_at) -> DataFrame:
+    """Project rows, and one status row for each company without any.
 
     ``companies`` has ``homepage_url``, ``status_code`` and ``error_message``: what to
-    report if no project of the company was found.
+    report if no project of the company was found. One outer join does both, so
+    the projects are worked out once.
     """
-    missing = companies.join(projects.select("symbol").distinct(), "symbol", "left_anti")
+    own = {"symbol", "company_name", "short_name", "metal", "company_type"}
     url = F.coalesce("homepage_url", F.lit(""))
     given = {
         "project_url": url, "source_url": url, "retrieved_at": moment(retrieved_at), "confidence": F.lit(0.0),
         "technical_report_names_json": F.lit("[]"), "technical_report_urls_json": F.lit("[]"),
         "extraction_layer": F.lit("status"),
+        "status_code": F.col("why_code"), "error_message": F.col("why_message"),
     }
-    own = {"symbol", "company_name", "short_name", "metal", "company_type", "status_code", "error_message"}
-    return missing.select(*[
-        F.col(c) if c in own else given.get(c, F.lit("")).alias(c) for c in PROJECT_COLUMNS])
+    found = [c for c in PROJECT_COLUMNS if c not in own]
+    known = companies.select(
+        *[c for c in PROJECT_COLUMNS if c in own], "homepage_url",
+        F.col("status_code").alias("why_code"), F.col("error_message").alias("why_message"))
+    joined = known.join(projects.select("symbol", *found, F.lit(True).alias("has_project")), "symbol", "left")
+    return joined.select(*[
+        F.col(c) if c in own
+        else F.when(F.col("has_project").isNotNull(), F.col(c)).otherwise(given.get(c, F.lit(""))).alias(c)
+        for c in PROJECT_COLUMNS])
 
 
 def project_status(rows: DataFrame) -> DataFrame:

@@ -51,4 +51,4 @@ def project_portfolio(companies: DataFrame, curated: DataFrame, discovered: Data
         F.when(no_url, F.lit("No homepage URL available"))
         .when(F.col("fetched").isNull(), F.lit("homepage is not in the page snapshot"))
         .otherwise(F.lit("No portfolio project pages found")))
-    return found.unionByName(web.status_rows(reasons, found, retrieved_at))
+    return web.with_status_rows(reasons, found, retrieved_at)
