@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("health",)
+MODULES = ("health", "web")
 
 
 def load():
