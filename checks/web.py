@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import sqltext as S
-from checks.registry import plain, query, table
+from checks.registry import plain, query, table, texts
 from orelode.functions import html as H
 from orelode.functions import text as T
 from orelode.functions import urls as U
@@ -26,7 +26,7 @@ WORDS = web.Vocabulary(TERMS, NEGATIVE, ANCHORS, BLOCKS, NOUNS)
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages")
+    return texts(spark, sf, "pages")
 
 
 @query("page_title_links", f"""WITH {S.PAGES}
@@ -201,7 +201,7 @@ def mined(spark, sf):
     text = F.regexp_replace("text", r"[^\x00-\x7F]", "a")
     for old, new in PHRASES:
         text = F.replace(text, F.lit(old), F.lit(new))
-    return table(spark, sf, "documents").select("doc_id", "source", "lang", text.alias("evidence"))
+    return texts(spark, sf, "documents").select("doc_id", "source", "lang", text.alias("evidence"))
 
 
 _MINED = "regexp_replace(text, '[^\\x00-\\x7F]', 'a', 'g')"

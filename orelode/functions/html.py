@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from orelode import dims
-from orelode.functions.text import clean_text, count_terms, nonempty, unescape, words
+from orelode.functions.text import clean_text, contains_any, count_terms, nonempty, unescape, words
 
 _CUT = "\u0001"
 _ATTRS = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
@@ -78,11 +78,11 @@ def likely_block(attrs: Column, text: Column, class_words: list[str] | None = No
     """A block whose attributes name a project and whose text has two terms and some length."""
     named = attrs.rlike(words(class_words or dims.BLOCK_WORDS))
     found = count_terms(F.lower(F.concat_ws(" ", attrs, text)), terms or dims.LINK_TERMS)
-    return named & (found >= 2) & (F.length(text) > 80)
+    return named & (F.length(text) > 80) & (found >= 2)
 
 
 def substantive(text: Column, terms: list[str] | None = None) -> Column:
-    return (F.length(text) > 250) & (count_terms(F.lower(text), terms or dims.LINK_TERMS) > 0)
+    return (F.length(text) > 250) & contains_any(F.lower(text), terms or dims.LINK_TERMS)
 
 
 def channel_id(html: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -9,44 +11,57 @@ from pyspark.sql import functions as F
 
 from orelode import dims
 
+# all white space, and the four separators below the space
+_SPACES = r"[\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]+"
 # names that HTML also accepts without the closing semicolon
 _BARE_NAMES = ("amp", "lt", "gt", "quot", "nbsp", "copy", "reg")
 _ENTITY = r"^(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};|(?:" + "|".join(_BARE_NAMES) + "))"
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` worked out once, however often ``use`` names it.
+
+    Without this the optimizer may inline a costly expression at every mention.
+    """
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def _code_point(digits: Column, base: int) -> Column:
     number = F.conv(digits, base, 16)
     return F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
 
 
 def _entity_names() -> Column:
-    pairs: list[Column] = []
-    for name, point in sorted(name2codepoint.items()):
-        pairs += [F.lit(name), F.lit(chr(point))]
-    return F.create_map(*pairs)
+    """The named references of HTML 4, as one constant map."""
+    pairs = "\u0001".join(f"{name}\u0002{chr(point)}" for name, point in sorted(name2codepoint.items()))
+    return F.str_to_map(F.lit(pairs), F.lit("\u0001"), F.lit("\u0002"))
 
 
 def unescape(c: Column) -> Column:
     """Character references to characters; unknown ones stay as written."""
 
-    def one(part: Column, i: Column) -> Column:
-        ref = F.regexp_extract(part, _ENTITY, 1)
-        rest = F.substring(part, F.length(ref) + 1, F.length(part))
+    def character(ref: Column) -> Column:
         name = F.regexp_replace(ref, ";$", "")
-        char = (
+        return (
             F.when(name.rlike("^#[0-9]+$"), _code_point(F.substring(name, F.lit(2), F.length(name)), 10))
             .when(name.rlike("^#[xX]"), _code_point(F.substring(name, F.lit(3), F.length(name)), 16))
             .when(name != "", F.try_element_at(_entity_names(), name))
         )
-        return F.when(i == 0, part).otherwise(F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part)))
 
-    decoded = F.array_join(F.transform(F.split(c, "&"), one), "")
-    return F.when(c.contains("&"), decoded).otherwise(c)
+    def one(part: Column, i: Column) -> Column:
+        def decoded(ref: Column) -> Column:
+            rest = F.substring(part, F.length(ref) + 1, F.length(part))
+            return F.coalesce(F.concat(character(ref), rest), F.concat(F.lit("&"), part))
+
+        return F.when(i == 0, part).otherwise(once(F.regexp_extract(part, _ENTITY, 1), decoded))
+
+    return once(c, lambda s: F.when(
+        F.contains(s, F.lit("&")), F.array_join(F.transform(F.split(s, "&"), one), "")).otherwise(s))
 
 
 def squeeze(c: Column) -> Column:
     """Runs of white space, no-break spaces included, to one space; trimmed."""
-    return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
+    return F.trim(F.regexp_replace(c, _SPACES, " "))
 
 
 def clean_text(c: Column) -> Column:
@@ -55,7 +70,8 @@ def clean_text(c: Column) -> Column:
 
 def cut_at_word(c: Column, n: int) -> Column:
     """At most ``n`` characters of clean text, cut back to a space if there is one."""
-    return F.when(F.length(c) <= n, c).otherwise(F.regexp_replace(F.substring(c, 1, n), r" [^ ]*$", ""))
+    return once(c, lambda s: F.when(F.length(s) <= n, s).otherwise(
+        F.regexp_replace(F.substring(s, 1, n), r" [^ ]*$", "")))
 
 
 def trim_text(c: Column, n: int) -> Column:
@@ -72,12 +88,13 @@ def split_text_lines(c: Column) -> Column:
 
 
 def contains_any(c: Column, terms: list[str]) -> Column:
-    return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(c, t))
+    return c.rlike("|".join(re.escape(t) for t in terms))
 
 
 def count_terms(c: Column, terms: list[str]) -> Column:
     """How many of the terms occur; a plural counts beside its singular."""
-    return F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(c, t)))
+    table = F.array(*[F.lit(t) for t in terms])
+    return once(c, lambda s: F.size(F.filter(table, lambda t: F.contains(s, t))))
 
 
 def words(terms: list[str]) -> str:
@@ -103,6 +120,7 @@ LOCATION = (
     r"(?iU)\b(?:located|location|in|near)\b[^.]{0,120}\b(?:" + "|".join(dims.PLACES) + r")\b"
 )
 REPORT_NAME = r"(?iU)[^.\n]{0,80}\b(?:" + "|".join(dims.REPORT_WORDS) + r")\b[^.\n]{0,120}"
+REPORT_HINT = words(dims.REPORT_WORDS)
 WEB_LINK = r"https?://[^\s\"')<>]+"
 
 
@@ -128,8 +146,14 @@ def clean_unique(arr: Column, limit: int) -> Column:
     return F.slice(F.array_distinct(nonempty(F.transform(arr, clean_text))), 1, limit)
 
 
-def report_names(c: Column, pattern: str = REPORT_NAME) -> Column:
-    return clean_unique(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), 10)
+def report_names(c: Column, pattern: str = REPORT_NAME, hint: str = REPORT_HINT) -> Column:
+    """Report names with their surroundings inside one sentence or line.
+
+    The pattern may start 80 characters before a report word, so it is tried only
+    on the stretches between periods and line ends that hold one.
+    """
+    stretches = F.filter(F.split(c, r"[.\n]"), lambda x: x.rlike(hint))
+    return clean_unique(F.flatten(F.transform(stretches, lambda x: F.regexp_extract_all(x, F.lit(pattern), F.lit(0)))), 10)
 
 
 def report_urls(c: Column, terms: list[str] | None = None) -> Column:
@@ -160,8 +184,8 @@ def clean_project_name(c: Column) -> Column:
 
 def generic_name(c: Column) -> Column:
     """Names that say nothing about a project."""
-    low = F.trim(F.lower(c))
-    return low.isin(*dims.GENERIC_NAMES) | low.rlike(words(dims.GENERIC_WORDS))
+    return F.trim(F.lower(c)).rlike(
+        "^(?:" + "|".join(dims.GENERIC_NAMES) + ")$|" + words(dims.GENERIC_WORDS))
 
 
 def project_name(lines: Column, nouns: list[str] | None = None) -> Column:
@@ -171,9 +195,12 @@ def project_name(lines: Column, nouns: list[str] | None = None) -> Column:
     def usable(longest: int):
         return lambda x: F.length(x).between(3, longest) & ~generic_name(x)
 
-    with_noun = F.filter(F.filter(F.slice(lines, 1, 10), usable(90)), lambda x: x.rlike(pattern))
-    short = F.filter(F.slice(lines, 1, 6), usable(70))
-    return F.coalesce(F.get(with_noun, F.lit(0)), F.get(short, F.lit(0)), F.lit(""))
+    def choose(early: Column) -> Column:
+        with_noun = F.filter(early, lambda x: x.rlike(pattern) & usable(90)(x))
+        short = F.filter(F.slice(early, 1, 6), usable(70))
+        return F.coalesce(F.get(with_noun, F.lit(0)), F.get(short, F.lit(0)), F.lit(""))
+
+    return once(F.slice(lines, 1, 10), choose)
 
 
 def inferred_name(url_path: Column, title: Column, lines: Column, verbatim: bool = False) -> Column:
@@ -191,7 +218,8 @@ def inferred_name(url_path: Column, title: Column, lines: Column, verbatim: bool
     def usable(name: Column) -> Column:
         return (name != "") & ~generic_name(name)
 
-    return F.when(usable(from_title), from_title).when(usable(from_slug), from_slug).otherwise(project_name(lines))
+    return once(from_title, lambda t: F.when(usable(t), t).otherwise(
+        once(from_slug, lambda s: F.when(usable(s), s).otherwise(project_name(lines)))))
 
 
 def symbol_tags(c: Column, keywords: list[tuple[str, list[str]]] | None = None,
@@ -205,8 +233,9 @@ def symbol_tags(c: Column, keywords: list[tuple[str, list[str]]] | None = None,
         hit = lambda k: F.regexp_like(c, F.concat(F.lit(r"(?U)\b\Q"), k["word"], F.lit(r"\E\b")))
     else:
         hit = lambda k: F.contains(c, k["word"])
-    tags = F.flatten(F.transform(F.filter(table, hit), lambda k: k["symbols"]))
-    tags = F.when(F.size(tags) == 0, F.array(*[F.lit(s) for s in default or dims.DEFAULT_TAGS])).otherwise(tags)
+    fallback = F.array(*[F.lit(s) for s in default or dims.DEFAULT_TAGS])
+    tags = once(F.flatten(F.transform(F.filter(table, hit), lambda k: k["symbols"])),
+                lambda t: F.when(F.size(t) == 0, fallback).otherwise(t))
     tags = nonempty(F.transform(tags, lambda t: F.trim(F.upper(t))))
     return F.slice(F.array_distinct(tags), 1, limit)
 

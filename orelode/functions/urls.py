@@ -6,11 +6,13 @@ any text, so a bad URL yields empty parts instead of an error.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from orelode import dims
-from orelode.functions.text import contains_any, count_terms, words
+from orelode.functions.text import count_terms, once, words
 
 _URI = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?"
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
@@ -33,30 +35,38 @@ def query(c: Column) -> Column:
 
 
 def with_scheme(c: Column) -> Column:
-    return F.when(c.rlike(_SCHEME + "//"), c).otherwise(F.concat(F.lit("https://"), c))
+    return F.regexp_replace(c, r"^(?![A-Za-z][A-Za-z0-9+.-]*://)", "https://")
 
 
-def _page_path(c: Column) -> Column:
-    plain = F.regexp_replace(path(c), r";[^/]*$", "")
-    return F.when(plain == "", F.lit("/")).otherwise(plain)
+def _page_form(c: Column) -> Column:
+    """Lower-case scheme, no fragment, no path parameters, and a path."""
+    steps = [
+        (r"(?i)^https://", "https://"),
+        (r"(?i)^http://", "http://"),
+        (r"(?s)#.*$", ""),
+        (r"(?s)^([^?]*?);[^/?]*(\?.*)?$", "$1$2"),
+        (r"\?$", ""),
+        (r"^([^:/?#]+://[^/?#]*)(?=\?|$)", "$1/"),
+    ]
+    out = with_scheme(c)
+    for pattern, into in steps:
+        out = F.regexp_replace(out, pattern, into)
+    return out
 
 
 def normalize_homepage(c: Column) -> Column:
     """Scheme, host and path only; ``https`` where no scheme is given."""
-    full = with_scheme(c)
-    return F.concat(scheme(full), F.lit("://"), host(full), _page_path(full))
+    return F.regexp_replace(_page_form(c), r"(?s)\?.*$", "")
 
 
 def normalize_url(c: Column) -> Column:
     """Like the homepage form but the query is kept."""
-    full = with_scheme(c)
-    tail = F.when(query(full) == "", F.lit("")).otherwise(F.concat(F.lit("?"), query(full)))
-    return F.concat(scheme(full), F.lit("://"), host(full), _page_path(full), tail)
+    return _page_form(c)
 
 
 def domain(c: Column) -> Column:
     """Host without a leading ``www.``; NULL for no URL."""
-    return F.when(F.nullif(c, F.lit("")).isNotNull(), F.regexp_replace(host(c), r"^www\.", ""))
+    return F.regexp_replace(host(F.nullif(c, F.lit(""))), r"^www\.", "")
 
 
 def site(c: Column) -> Column:
@@ -70,52 +80,59 @@ def _fold_dots(p: Column) -> Column:
         shorter = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
         return F.when(part == ".", kept).when(part == "..", shorter).otherwise(F.concat(kept, F.array(part)))
 
-    # a closing "." or ".." leaves a directory, so it keeps its slash
-    closed = F.regexp_replace(p, r"/(\.{1,2})$", "/$1/")
-    start = F.array(F.lit("")).cast("array<string>")
-    parts = F.split(closed, "/")
-    folded = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step)
-    return F.when(p.rlike(r"/\.{1,2}(/|$)"), F.array_join(folded, "/")).otherwise(p)
+    def folded(s: Column) -> Column:
+        # a closing "." or ".." leaves a directory, so it keeps its slash
+        parts = F.split(F.regexp_replace(s, r"/(\.{1,2})$", "/$1/"), "/")
+        start = F.array(F.lit("")).cast("array<string>")
+        return F.array_join(F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step), "/")
+
+    return once(p, lambda s: F.when(s.rlike(r"/\.{1,2}(/|$)"), folded(s)).otherwise(s))
 
 
 def join_url(base: Column, ref: Column) -> Column:
     """A reference resolved against a base URL, after RFC 3986 section 5."""
-    origin = F.concat(scheme(base), F.lit("://"), host(base))
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    tail = F.regexp_extract(ref, r"([?#].*)$", 1)
-    ref_path = F.regexp_extract(ref, r"^([^?#]*)", 1)
-    return (
-        F.when(ref == "", base)
-        .when(ref.rlike(_SCHEME), ref)
-        .when(ref.startswith("//"), F.concat(scheme(base), F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(origin, _fold_dots(ref_path), tail))
-        .when(ref.startswith("?"), F.concat(origin, path(base), ref))
-        .when(ref.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), ref))
-        .otherwise(F.concat(origin, _fold_dots(F.concat(folder, ref_path)), tail))
-    )
+
+    def resolved(b: Column, r: Column) -> Column:
+        origin = F.regexp_extract(b, r"^([^:/?#]+://[^/?#]*)", 1)
+        folder = F.regexp_replace(F.regexp_replace(path(b), r"[^/]*$", ""), "^$", "/")
+        tail = F.regexp_extract(r, r"(?s)([?#].*)$", 1)
+        ref_path = F.regexp_extract(r, r"^([^?#]*)", 1)
+        return (
+            F.when(r == "", b)
+            .when(r.rlike(_SCHEME), r)
+            .when(r.startswith("//"), F.concat(scheme(b), F.lit(":"), r))
+            .when(r.startswith("/"), F.concat(origin, _fold_dots(ref_path), tail))
+            .when(r.startswith("?"), F.concat(origin, path(b), r))
+            .when(r.startswith("#"), F.concat(F.regexp_replace(b, "#.*$", ""), r))
+            .otherwise(F.concat(origin, _fold_dots(F.concat(folder, ref_path)), tail))
+        )
+
+    return once(F.struct(base.alias("base"), ref.alias("ref")), lambda p: resolved(p["base"], p["ref"]))
 
 
 def path_url(base: Column, page: Column) -> Column:
     """A site path on the site of ``base``."""
-    root = F.concat(scheme(with_scheme(base)), F.lit("://"), host(with_scheme(base)))
+    root = F.regexp_extract(with_scheme(base), r"^([^:/?#]+://[^/?#]*)", 1)
     return normalize_url(join_url(root, page))
 
 
 def same_site(a: Column, b: Column) -> Column:
     """Equal hosts, or one is a sub-domain of the other."""
-    left, right = site(a), site(b)
-    return (left != "") & (right != "") & (
-        (left == right)
-        | F.endswith(right, F.concat(F.lit("."), left))
-        | F.endswith(left, F.concat(F.lit("."), right))
-    )
+
+    def related(left: Column, right: Column) -> Column:
+        return (left != "") & (right != "") & (
+            (left == right)
+            | F.endswith(right, F.concat(F.lit("."), left))
+            | F.endswith(left, F.concat(F.lit("."), right))
+        )
+
+    return once(F.struct(site(a).alias("left"), site(b).alias("right")), lambda p: related(p["left"], p["right"]))
 
 
 def unwanted_url(c: Column, terms: list[str] | None = None) -> Column:
     """URLs of pages that hold no projects: a listed term anywhere, or a binary file."""
-    low = F.lower(c)
-    return contains_any(low, terms or dims.NEGATIVE_TERMS) | low.rlike(dims.BINARY_SUFFIX)
+    listed = "|".join(re.escape(t) for t in terms or dims.NEGATIVE_TERMS)
+    return F.lower(c).rlike(f"{listed}|{dims.BINARY_SUFFIX}")
 
 
 def link_score(text: Column, url: Column, terms: list[str] | None = None, anchors: list[str] | None = None) -> Column:

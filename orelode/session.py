@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -36,3 +36,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors can reach")
         base = tempfile.mkdtemp(prefix="orelode-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer splits than the cluster has cores.
+
+    For costly per-row work on wide text. A large table already has splits enough
+    and is returned as it is, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
