@@ -11,6 +11,7 @@ from orelode.operators.ranking import latest_per, top_n_per
 
 # positions of one transcript that are assembled together
 PART_SPAN = 4096
+_BLANKS = " \t\n\r\f\v\u00a0"
 
 
 def select_channels(channels: DataFrame, wanted: list[str]) -> DataFrame:
@@ -39,7 +40,7 @@ def pick_transcript(listed: DataFrame) -> DataFrame:
 
 def transcript_parts(segments: DataFrame, span: int = PART_SPAN) -> DataFrame:
     """Transcript text in parts of at most ``span`` positions; no part outgrows a task."""
-    said = segments.select("video_id", "pos", F.trim("text").alias("said")).filter(F.col("said") != "")
+    said = segments.select("video_id", "pos", F.btrim("text", F.lit(_BLANKS)).alias("said")).filter(F.col("said") != "")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "said")))
     return said.groupBy("video_id", F.floor(F.col("pos") / span).cast("long").alias("part")).agg(
         F.array_join(F.transform(ordered, lambda s: s["said"]), "\n").alias("part_text"))
