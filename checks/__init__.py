@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("health", "coverage", "keyed", "video", "web")
+MODULES = ("health", "coverage", "keyed", "video", "web", "market", "media", "stream")
 
 
 def load():

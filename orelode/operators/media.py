@@ -40,14 +40,17 @@ def mentions(docs: DataFrame, phrase_table: DataFrame, max_words: int = 4) -> Da
     document before anything is shuffled; ``max_words`` is the longest alias.
     """
     words = docs.select("doc_id", tokens(F.col("text")).alias("w"))
-    runs = words.select("doc_id", F.explode(F.flatten(F.array(*[
-        F.when(
-            F.size("w") >= n,
-            F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))),
-                        lambda i, n=n: F.array_join(F.slice(F.col("w"), i, n), " ")),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(1, max_words + 1)
-    ]))).alias("phrase"))
+
+    def word_runs(n: int) -> Column:
+        """All runs of ``n`` words."""
+        if n == 1:
+            return F.col("w")
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))
+        return F.when(F.size("w") >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    every = F.flatten(F.array(*[word_runs(n) for n in range(1, max_words + 1)]))
+    runs = words.select("doc_id", F.explode(every).alias("phrase"))
     found = runs.join(phrase_table.select("symbol", "phrase", "is_alias", "needs_context"), "phrase")
     per_doc = found.groupBy("doc_id", "symbol", "needs_context").agg(
         F.count_if("is_alias").alias("occurrences"), F.count_if(~F.col("is_alias")).alias("context_hits"))
