@@ -340,6 +340,10 @@ def cap_sorted(spark, sf):
     return web.cap_sorted(named, 40).select("symbol", "project_name", "doc_id")
 
 
-@query("min_confidence", f"WITH {SCORED} SELECT symbol, count(*) AS n FROM project WHERE confidence >= 0.52 GROUP BY symbol")
+@query("min_confidence", f"""WITH {SCORED},
+best AS (SELECT * FROM project QUALIFY row_number() OVER (PARTITION BY symbol, lower(project_name)
+  ORDER BY confidence + length(description_text) / 10000.0::DOUBLE DESC, doc_id) = 1)
+SELECT symbol, count(*) AS n FROM best WHERE confidence >= 0.52 GROUP BY symbol""")
 def min_confidence(spark, sf):
-    return project_rows(spark, sf).filter(F.col("confidence") >= 0.52).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    best = web.keep_best(project_rows(spark, sf), [F.col("doc_id")])
+    return best.filter(F.col("confidence") >= 0.52).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from orelode import dims
 
-# all white space, and the four separators below the space
-_SPACES = r"[\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]+"
+# runs of white space that are not one plain space already, so tidy text is passed over
+_SPACES = r"(?U)[\s\x1c-\x1f]{2,}+|[\s\x1c-\x1f&&[^ ]]"
 # names that HTML also accepts without the closing semicolon
 _BARE_NAMES = ("amp", "lt", "gt", "quot", "nbsp", "copy", "reg")
 _ENTITY = r"^(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};|(?:" + "|".join(_BARE_NAMES) + "))"
@@ -26,37 +26,29 @@ def once(c: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
-def _code_point(digits: Column, base: int) -> Column:
-    number = F.conv(digits, base, 16)
-    return F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
+def _entity_names() -> str:
+    """The named references of HTML 4, as the SQL text of one constant map."""
+    pairs = "\u0001".join(f"{name}\u0002{chr(point)}" for name, point in sorted(name2codepoint.items()))
+    return f"str_to_map(r'{pairs}', '\u0001', '\u0002')"
 
 
-def _entity_names() -> Column:
-    """The named references of HTML 4, as one constant map."""
-    pairs = "\u0001".join(f"{name}\u0002{chr(point)}" for name, point in sorted(name2codepoint.items()))
-    return F.str_to_map(F.lit(pairs), F.lit("\u0001"), F.lit("\u0002"))
+# Written as SQL, as it is used in many places and takes one call this way.
+_UNESCAPE = rf"""s -> CASE WHEN contains(s, '&') THEN array_join(transform(split(s, '&'), (part, i) ->
+  CASE WHEN i = 0 THEN part ELSE transform(array(regexp_extract(part, r'{_ENTITY}', 1)), ref ->
+    coalesce(
+      CASE
+        WHEN ref RLIKE '^#[0-9]' THEN
+          decode(unhex(lpad(conv(regexp_replace(ref, '[#;]', ''), 10, 16), 8, '0')), 'UTF-32')
+        WHEN ref RLIKE '^#[xX]' THEN
+          decode(unhex(lpad(regexp_replace(ref, '[#xX;]', ''), 8, '0')), 'UTF-32')
+        WHEN ref <> '' THEN try_element_at({_entity_names()}, rtrim(';', ref))
+      END || substring(part, length(ref) + 1),
+      '&' || part))[0] END), '') ELSE s END"""
 
 
 def unescape(c: Column) -> Column:
     """Character references to characters; unknown ones stay as written."""
-
-    def character(ref: Column) -> Column:
-        name = F.regexp_replace(ref, ";$", "")
-        return (
-            F.when(name.rlike("^#[0-9]+$"), _code_point(F.substring(name, F.lit(2), F.length(name)), 10))
-            .when(name.rlike("^#[xX]"), _code_point(F.substring(name, F.lit(3), F.length(name)), 16))
-            .when(name != "", F.try_element_at(_entity_names(), name))
-        )
-
-    def one(part: Column, i: Column) -> Column:
-        def decoded(ref: Column) -> Column:
-            rest = F.substring(part, F.length(ref) + 1, F.length(part))
-            return F.coalesce(F.concat(character(ref), rest), F.concat(F.lit("&"), part))
-
-        return F.when(i == 0, part).otherwise(once(F.regexp_extract(part, _ENTITY, 1), decoded))
-
-    return once(c, lambda s: F.when(
-        F.contains(s, F.lit("&")), F.array_join(F.transform(F.split(s, "&"), one), "")).otherwise(s))
+    return F.get(F.call_function("transform", F.array(c), F.expr(_UNESCAPE)), F.lit(0))
 
 
 def squeeze(c: Column) -> Column:
@@ -84,7 +76,12 @@ def nonempty(arr: Column) -> Column:
 
 def split_text_lines(c: Column) -> Column:
     """Clean non-empty lines; two or more spaces also end a line."""
-    return nonempty(F.transform(F.split(c, r"[\n\r]+| {2,}"), clean_text))
+
+    def lines(s: Column) -> Column:
+        raw = F.split(s, r"[\n\r]+| {2,}")
+        return F.when(F.contains(s, F.lit("&")), F.transform(raw, clean_text)).otherwise(F.transform(raw, squeeze))
+
+    return nonempty(once(c, lines))
 
 
 def contains_any(c: Column, terms: list[str]) -> Column:
@@ -229,13 +226,15 @@ def symbol_tags(c: Column, keywords: list[tuple[str, list[str]]] | None = None,
         F.struct(F.lit(word).alias("word"), F.array(*[F.lit(s) for s in symbols]).alias("symbols"))
         for word, symbols in (keywords or dims.KEYWORD_TAGS)
     ])
-    if whole_word:
-        hit = lambda k: F.regexp_like(c, F.concat(F.lit(r"(?U)\b\Q"), k["word"], F.lit(r"\E\b")))
-    else:
-        hit = lambda k: F.contains(c, k["word"])
+
+    def hit(s: Column, k: Column) -> Column:
+        if whole_word:
+            return F.regexp_like(s, F.concat(F.lit(r"(?U)\b\Q"), k["word"], F.lit(r"\E\b")))
+        return F.contains(s, k["word"])
+
     fallback = F.array(*[F.lit(s) for s in default or dims.DEFAULT_TAGS])
-    tags = once(F.flatten(F.transform(F.filter(table, hit), lambda k: k["symbols"])),
-                lambda t: F.when(F.size(t) == 0, fallback).otherwise(t))
+    found = once(c, lambda s: F.flatten(F.transform(F.filter(table, lambda k: hit(s, k)), lambda k: k["symbols"])))
+    tags = once(found, lambda t: F.when(F.size(t) == 0, fallback).otherwise(t))
     tags = nonempty(F.transform(tags, lambda t: F.trim(F.upper(t))))
     return F.slice(F.array_distinct(tags), 1, limit)
 

@@ -16,43 +16,35 @@ def tokens(c: Column) -> Column:
 def phrases(symbols: DataFrame) -> DataFrame:
     """Match phrases of each symbol (``symbol, aliases, context``).
 
-    Rows are ``symbol, phrase, n_words, is_alias``; the ticker is an alias too. A
-    symbol without context words needs none.
+    Rows are ``symbol, first_word, phrase, is_alias, needs_context``, the phrase as
+    its words. The ticker is an alias too; a symbol without context words needs none.
     """
 
-    def plain(c: Column) -> Column:
-        return F.array_join(tokens(c), " ")
+    def listed(c: str) -> Column:
+        return F.coalesce(F.col(c), F.array().cast("array<string>"))
 
-    names = F.array_distinct(F.transform(F.concat(F.array("symbol"), F.coalesce("aliases", F.array().cast("array<string>"))), plain))
-    alias = symbols.select("symbol", F.explode(names).alias("phrase"), F.lit(True).alias("is_alias"))
-    context = symbols.select("symbol", F.explode(F.array_distinct(F.transform("context", plain))).alias("phrase"),
-                             F.lit(False).alias("is_alias"))
-    needs = symbols.select("symbol", (F.size(F.coalesce("context", F.array().cast("array<string>"))) > 0).alias("needs_context"))
-    both = alias.unionByName(context).filter(F.col("phrase") != "")
-    return both.withColumn("n_words", F.size(F.split("phrase", " "))).join(needs, "symbol")
+    def phrase(c: Column, is_alias: bool) -> Column:
+        return F.transform(F.array_distinct(F.transform(c, tokens)), lambda p: F.struct(
+            p.alias("phrase"), F.lit(is_alias).alias("is_alias")))
+
+    every = F.concat(phrase(F.concat(F.array("symbol"), listed("aliases")), True), phrase(listed("context"), False))
+    rows = symbols.select("symbol", (F.size(listed("context")) > 0).alias("needs_context"), F.inline(every))
+    return rows.filter(F.size("phrase") > 0).withColumn("first_word", F.col("phrase")[0])
 
 
 def mentions(docs: DataFrame, phrase_table: DataFrame, max_words: int = 4) -> DataFrame:
     """One row per document and symbol it mentions, with the number of occurrences.
 
     An alias must occur as a whole run of words, and a context word anywhere in
-    the text. Word runs meet the phrases in an equi-join, and are counted per
-    document before anything is shuffled; ``max_words`` is the longest alias.
+    the text. Each word carries the few words after it, meets the phrases by an
+    equi-join on the first word, and hits are counted per document before anything
+    is shuffled; ``max_words`` is the longest alias.
     """
-    words = docs.select("doc_id", tokens(F.col("text")).alias("w"))
-
-    def word_runs(n: int) -> Column:
-        """All runs of ``n`` words."""
-        if n == 1:
-            return F.col("w")
-        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))
-        return F.when(F.size("w") >= n, joined).otherwise(F.array().cast("array<string>"))
-
-    every = F.flatten(F.array(*[word_runs(n) for n in range(1, max_words + 1)]))
-    runs = words.select("doc_id", F.explode(every).alias("phrase"))
-    found = runs.join(phrase_table.select("symbol", "phrase", "is_alias", "needs_context"), "phrase")
-    per_doc = found.groupBy("doc_id", "symbol", "needs_context").agg(
+    words = docs.select("doc_id", tokens(F.col("text")).alias("w")).select(
+        "doc_id", "w", F.posexplode("w").alias("pos", "first_word"))
+    runs = words.select("doc_id", "first_word", F.slice("w", F.col("pos") + 1, F.lit(max_words)).alias("run"))
+    hits = runs.join(phrase_table, "first_word").filter(F.slice("run", F.lit(1), F.size("phrase")) == F.col("phrase"))
+    per_doc = hits.groupBy("doc_id", "symbol", "needs_context").agg(
         F.count_if("is_alias").alias("occurrences"), F.count_if(~F.col("is_alias")).alias("context_hits"))
     return per_doc.filter(
         (F.col("occurrences") > 0) & (~F.col("needs_context") | (F.col("context_hits") > 0))

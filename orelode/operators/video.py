@@ -75,9 +75,8 @@ def keyword_hits(videos: DataFrame, keywords=None) -> DataFrame:
         F.struct(F.lit(word).alias("keyword"), F.array(*[F.lit(s) for s in symbols]).alias("symbols"))
         for word, symbols in (keywords or dims.KEYWORD_TAGS)
     ])
-    tagged = videos.select("video_id", _tag_text().alias("tag_text"))
-    hits = F.filter(table, lambda k: F.contains(F.col("tag_text"), k["keyword"]))
-    return tagged.select("video_id", F.inline(hits)).select("video_id", "keyword", F.explode("symbols").alias("symbol"))
+    hits = text.once(_tag_text(), lambda s: F.filter(table, lambda k: F.contains(s, k["keyword"])))
+    return videos.select("video_id", F.inline(hits)).select("video_id", "keyword", F.explode("symbols").alias("symbol"))
 
 
 def outcomes(videos: DataFrame, existing: DataFrame, transcripts: DataFrame, refused: DataFrame | None = None) -> DataFrame:

@@ -40,14 +40,18 @@ def page_parts(pages: DataFrame) -> DataFrame:
 
 
 def scored_links(bases: DataFrame, vocabulary: Vocabulary = MINING) -> DataFrame:
-    """Links worth following. ``bases`` has ``base_url`` and ``links``; its other columns stay."""
-    each = bases.select(
-        *[c for c in bases.columns if c != "links"], F.posexplode("links").alias("link_pos", "link")
-    ).withColumn("url", U.normalize_url(U.join_url(F.col("base_url"), F.col("link.href"))))
-    scored = each.filter(
-        U.same_site(F.col("base_url"), F.col("url")) & ~U.unwanted_url(F.col("url"), vocabulary.negative_terms)
-    ).withColumn("score", U.link_score(F.col("link.text"), F.col("url"), vocabulary.link_terms, vocabulary.anchor_words))
-    return scored.filter(F.col("score") > 0).withColumn("link_text", F.col("link.text")).drop("link")
+    """Links worth following. ``bases`` has ``base_url`` and ``links``; its other columns stay.
+
+    Links are resolved, judged and scored inside the row; only the good ones leave it.
+    """
+    base = F.col("base_url")
+    resolved = F.transform("links", lambda a, i: F.struct(
+        i.alias("link_pos"), U.normalize_url(U.join_url(base, a["href"])).alias("url"), a["text"].alias("link_text")))
+    own = F.filter(resolved, lambda a: U.same_site(base, a["url"]) & ~U.unwanted_url(a["url"], vocabulary.negative_terms))
+    scored = F.transform(own, lambda a: F.struct(
+        a["link_pos"].alias("link_pos"), a["url"].alias("url"), a["link_text"].alias("link_text"),
+        U.link_score(a["link_text"], a["url"], vocabulary.link_terms, vocabulary.anchor_words).alias("score")))
+    return bases.select(*[c for c in bases.columns if c != "links"], F.inline(F.filter(scored, lambda a: a["score"] > 0)))
 
 
 def rank_candidates(candidates: DataFrame, order: list[Column], cap: int = 55) -> DataFrame:
