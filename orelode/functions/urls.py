@@ -73,41 +73,33 @@ def site(c: Column) -> Column:
     return F.regexp_replace(F.lower(host(c)), r"^www\.", "")
 
 
-def _fold_dots(p: Column) -> Column:
-    """``.`` and ``..`` segments folded away; they never climb above the root."""
-
-    def step(kept: Column, part: Column) -> Column:
-        shorter = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
-        return F.when(part == ".", kept).when(part == "..", shorter).otherwise(F.concat(kept, F.array(part)))
-
-    def folded(s: Column) -> Column:
-        # a closing "." or ".." leaves a directory, so it keeps its slash
-        parts = F.split(F.regexp_replace(s, r"/(\.{1,2})$", "/$1/"), "/")
-        start = F.array(F.lit("")).cast("array<string>")
-        return F.array_join(F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step), "/")
-
-    return once(p, lambda s: F.when(s.rlike(r"/\.{1,2}(/|$)"), folded(s)).otherwise(s))
+# Dot segments folded away; they never climb above the root. A closing "." or ".."
+# leaves a directory, so it keeps its slash.
+_FOLD = r"""transform(array({0}), s -> CASE WHEN s RLIKE r'/\.{{1,2}}(/|$)' THEN
+  transform(array(split(regexp_replace(s, r'/(\.{{1,2}})$', '/$1/'), '/')), parts ->
+    array_join(aggregate(slice(parts, 2, size(parts)), array(''), (kept, part) ->
+      CASE part WHEN '.' THEN kept WHEN '..' THEN slice(kept, 1, greatest(size(kept) - 1, 1))
+                ELSE concat(kept, array(part)) END), '/'))[0]
+  ELSE s END)[0]"""
+_ORIGIN = "regexp_extract(p.base, r'^([^:/?#]+://[^/?#]*)', 1)"
+_PATH = f"regexp_extract(p.base, r'{_URI}', 5)"
+_FOLDER = f"regexp_replace(regexp_replace({_PATH}, '[^/]*$', ''), '^$', '/')"
+_REF_PATH = "regexp_extract(p.ref, '^([^?#]*)', 1)"
+_TAIL = "regexp_extract(p.ref, '(?s)([?#].*)$', 1)"
+_JOIN = f"""p -> CASE
+  WHEN p.ref = '' THEN p.base
+  WHEN p.ref RLIKE r'{_SCHEME}' THEN p.ref
+  WHEN startswith(p.ref, '//') THEN lower(regexp_extract(p.base, r'{_URI}', 2)) || ':' || p.ref
+  WHEN startswith(p.ref, '/') THEN {_ORIGIN} || {_FOLD.format(_REF_PATH)} || {_TAIL}
+  WHEN startswith(p.ref, '?') THEN {_ORIGIN} || {_PATH} || p.ref
+  WHEN startswith(p.ref, '#') THEN regexp_replace(p.base, '#.*$', '') || p.ref
+  ELSE {_ORIGIN} || {_FOLD.format(_FOLDER + " || " + _REF_PATH)} || {_TAIL} END"""
 
 
 def join_url(base: Column, ref: Column) -> Column:
     """A reference resolved against a base URL, after RFC 3986 section 5."""
-
-    def resolved(b: Column, r: Column) -> Column:
-        origin = F.regexp_extract(b, r"^([^:/?#]+://[^/?#]*)", 1)
-        folder = F.regexp_replace(F.regexp_replace(path(b), r"[^/]*$", ""), "^$", "/")
-        tail = F.regexp_extract(r, r"(?s)([?#].*)$", 1)
-        ref_path = F.regexp_extract(r, r"^([^?#]*)", 1)
-        return (
-            F.when(r == "", b)
-            .when(r.rlike(_SCHEME), r)
-            .when(r.startswith("//"), F.concat(scheme(b), F.lit(":"), r))
-            .when(r.startswith("/"), F.concat(origin, _fold_dots(ref_path), tail))
-            .when(r.startswith("?"), F.concat(origin, path(b), r))
-            .when(r.startswith("#"), F.concat(F.regexp_replace(b, "#.*$", ""), r))
-            .otherwise(F.concat(origin, _fold_dots(F.concat(folder, ref_path)), tail))
-        )
-
-    return once(F.struct(base.alias("base"), ref.alias("ref")), lambda p: resolved(p["base"], p["ref"]))
+    pair = F.array(F.struct(base.alias("base"), ref.alias("ref")))
+    return F.get(F.call_function("transform", pair, F.expr(_JOIN)), F.lit(0))
 
 
 def path_url(base: Column, page: Column) -> Column:

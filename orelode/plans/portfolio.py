@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orelode.functions.times import moment
 from orelode.functions.urls import normalize_url
 from orelode.operators import coverage, web
+from orelode.session import settle
 
 
 def project_portfolio(companies: DataFrame, curated: DataFrame, discovered: DataFrame, pages: DataFrame,
@@ -16,30 +17,31 @@ def project_portfolio(companies: DataFrame, curated: DataFrame, discovered: Data
                       project_cap: int = 40) -> DataFrame:
     """Project rows of all companies, and a status row for each company without any.
 
-    ``pages`` has one row per normalised URL. At the default ``min_confidence``
-    no found row is dropped, as the lowest possible score is 0.60.
+    Two short tables are written on the way, the companies with their homepage and
+    the candidate URLs. A page is parsed once for links and once for projects, and
+    only if a company names it. At the default ``min_confidence`` no found row is
+    dropped, as the lowest possible score is 0.60.
     """
-    placed = coverage.resolve_homepages(companies, curated, discovered)
-    with_url = placed.filter(F.col("homepage_url").isNotNull())
     keyed = pages.select(normalize_url(F.col("url")).alias("url"), "html")
 
     # The homepage itself must be in the snapshot; a company without it has failed.
-    home_keys = with_url.select("symbol", normalize_url(F.col("homepage_url")).alias("home_key"))
-    fetched = keyed.select(F.col("url").alias("home_key")).join(
-        home_keys.select("home_key").distinct(), "home_key", "left_semi").distinct().withColumn("fetched", F.lit(True))
-    reach = home_keys.join(fetched, "home_key", "left").select("symbol", "fetched")
-    placed = placed.join(reach, "symbol", "left")
+    # The company table is short next to the pages, and most branches start from it.
+    snapshot = keyed.select(F.col("url").alias("home_key")).distinct().withColumn("fetched", F.lit(True))
+    placed = settle(
+        coverage.resolve_homepages(companies, curated, discovered)
+        .withColumn("home_key", normalize_url(F.col("homepage_url")))
+        .join(snapshot, "home_key", "left").drop("home_key"),
+        "companies")
     reachable = placed.filter(F.col("fetched").isNotNull())
+    candidates = settle(web.candidate_urls(reachable, keyed, known, landing, common, vocabulary), "candidates")
 
-    candidates = web.candidate_urls(reachable, keyed, known, landing, common, vocabulary)
     wanted = keyed.join(candidates.select("url").distinct(), "url", "left_semi")
     fields = web.with_project_fields(web.page_blocks(wanted, vocabulary), vocabulary.verbatim)
-    owned = candidates.select("symbol", "url", "candidate_rank").join(fields, "url").join(
-        companies.select("symbol", "company_name", "short_name", "metal", "company_type"), "symbol")
+    owned = candidates.select("symbol", "url", "candidate_rank").join(fields, "url")
     best = web.keep_best(owned, [F.col("candidate_rank"), F.col("block_pos")])
     found = web.cap_sorted(best.withColumn("source_url", F.col("url")), project_cap).filter(
         F.col("confidence") >= min_confidence).select(
-        *[F.col(c) for c in web.PROJECT_COLUMNS[:6]], F.col("url").alias("project_url"), "source_url", "page_title",
+        "symbol", "project_name", F.col("url").alias("project_url"), "source_url", "page_title",
         moment(retrieved_at).alias("retrieved_at"), *web.PROJECT_COLUMNS[10:23],
         F.lit("found").alias("status_code"), F.lit("").alias("error_message"))
 

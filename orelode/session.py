@@ -46,3 +46,14 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back.
+
+    Cuts the lineage of a table that several branches of a job use, survives lost
+    executors, and gives the planner its true size.
+    """
+    folder = work_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
