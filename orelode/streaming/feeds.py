@@ -41,9 +41,9 @@ def upsert_stream(changes: DataFrame, folder: str, key: Sequence[str], arrival:
 
 
 def current_rows(spark: SparkSession, folder: str, key: Sequence[str], arrival: str) -> DataFrame:
-    """Newest row per key over all micro-batches."""
+    """Newest row per key over all micro-batches; a late, older change does not win."""
     changes = spark.read.parquet(f"{folder}/changes")
-    return keep_first(changes, list(key), [F.col(BATCH).desc(), F.col(arrival).desc()]).drop(BATCH)
+    return keep_first(changes, list(key), [F.col(arrival).desc(), F.col(BATCH).desc()]).drop(BATCH)
 
 
 def once_only(videos: DataFrame, time_col: str, lateness: str) -> DataFrame:
