@@ -41,7 +41,7 @@ def workflows(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_name").alias("name"),
         F.concat(F.lit("wf"), F.col("c_custkey").cast("string")).alias("file"),
         F.lower("c_mktsegment").alias("category"),
-        (6.0 * (1 + F.col("c_nationkey") % 4)).alias("threshold_hours"),
+        (F.lit(6.0) + F.col("c_nationkey")).alias("threshold_hours"),
         F.col("c_mktsegment").alias("feeds"))
 
 
@@ -60,7 +60,7 @@ RUNS = """runs AS (
 
 WORKFLOWS = """cfg AS (
   SELECT c_name AS name, 'wf' || c_custkey AS file, lower(c_mktsegment) AS category,
-         6.0::DOUBLE * (1 + c_nationkey % 4) AS threshold_hours, c_mktsegment AS feeds FROM customer)"""
+         6.0::DOUBLE + c_nationkey AS threshold_hours, c_mktsegment AS feeds FROM customer)"""
 
 RANKED = """ranked AS (
   SELECT *, row_number() OVER (PARTITION BY workflow_file ORDER BY created_at DESC, id DESC) AS run_rank

@@ -1,7 +1,7 @@
 """Mentions, sentiment and lookups on ``documents``.
 
-The benchmark items are the symbols: an alias is the opening word pair of the
-item, its context the fifth word. A label gives the sentiment of a document.
+The benchmark items are the symbols: their aliases are the first word and the
+first two words of the item, their context is the fifth word. A label gives the sentiment of a document.
 """
 
 from __future__ import annotations
@@ -56,7 +56,16 @@ def mention_counts(spark, sf):
 @query("one_per_text", """SELECT min(doc_id) AS doc_id FROM documents
 GROUP BY regexp_replace(trim(lower(text), ' '), '\\s+', ' ', 'g')""")
 def one_per_text(spark, sf):
-    return media.one_per_text(table(spark, sf, "documents")).select("doc_id")
+    return media.first_copies(texts(spark, sf, "documents"))
+
+
+@query("distinct_mention_counts", f"""WITH {MENTIONS},
+firsts AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY regexp_replace(trim(lower(text), ' '), '\\s+', ' ', 'g'))
+SELECT symbol, count(*) AS mentions, round(sum(1 + log10(occurrences)), 6) AS weight
+FROM found SEMI JOIN firsts USING (doc_id) GROUP BY ALL""")
+def distinct_mention_counts(spark, sf):
+    firsts = media.first_copies(texts(spark, sf, "documents"))
+    return media.mention_counts(found(spark, sf).join(firsts, "doc_id", "left_semi"))
 
 
 @query("sentiment_trend", """WITH s AS (

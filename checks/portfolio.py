@@ -135,7 +135,7 @@ def channel_id(spark, sf):
     name = F.concat(F.lit("UC"), F.substring(F.sha1("url"), 1, 22))
     external = F.concat(F.lit('<footer>"externalId":"'), name, F.lit('"'))
     linked = F.concat(F.lit("<title>https://www.youtube.com/channel/"), name, F.lit("/about "))
-    html = F.when(F.col("page_id") < 100, F.replace("html", F.lit("<footer>"), external)).otherwise(
+    html = F.when(F.col("url").startswith("https"), F.replace("html", F.lit("<footer>"), external)).otherwise(
         F.replace("html", F.lit("<title>"), linked))
     found = cw.pages(spark, sf).select("page_id", H.channel_id(html).alias("channel_id"))
     return found.filter(F.col("channel_id").isNotNull())

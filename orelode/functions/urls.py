@@ -105,7 +105,8 @@ def join_url(base: Column, ref: Column) -> Column:
 def path_url(base: Column, page: Column) -> Column:
     """A site path on the site of ``base``."""
     root = F.regexp_extract(with_scheme(base), r"^([^:/?#]+://[^/?#]*)", 1)
-    return normalize_url(join_url(root, page))
+    plain = page.startswith("/") & ~page.startswith("//") & ~page.contains("/.")
+    return normalize_url(F.when(plain, F.concat(root, page)).otherwise(join_url(root, page)))
 
 
 def same_site(a: Column, b: Column) -> Column:

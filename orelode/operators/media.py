@@ -16,8 +16,8 @@ def tokens(c: Column) -> Column:
 def phrases(symbols: DataFrame) -> DataFrame:
     """Match phrases of each symbol (``symbol, aliases, context``).
 
-    Rows are ``symbol, first_word, phrase, is_alias, needs_context``, the phrase as
-    its words. The ticker is an alias too; a symbol without context words needs none.
+    Rows are ``symbol, first_word, phrase, phrase_text, is_alias, needs_context``, the
+    phrase as its words and as text. The ticker is an alias too; a symbol without context words needs none.
     """
 
     def listed(c: str) -> Column:
@@ -29,25 +29,32 @@ def phrases(symbols: DataFrame) -> DataFrame:
 
     every = F.concat(phrase(F.concat(F.array("symbol"), listed("aliases")), True), phrase(listed("context"), False))
     rows = symbols.select("symbol", (F.size(listed("context")) > 0).alias("needs_context"), F.inline(every))
-    return rows.filter(F.size("phrase") > 0).withColumn("first_word", F.col("phrase")[0])
+    return rows.filter(F.size("phrase") > 0).withColumn("first_word", F.col("phrase")[0]).withColumn(
+        "phrase_text", F.array_join("phrase", " "))
 
 
 def mentions(docs: DataFrame, phrase_table: DataFrame, max_words: int = 4) -> DataFrame:
     """One row per document and symbol it mentions, with the number of occurrences.
 
     An alias must occur as a whole run of words, and a context word anywhere in
-    the text. Each word carries the few words after it, meets the phrases by an
-    equi-join on the first word, and hits are counted per document before anything
-    is shuffled; ``max_words`` is the longest alias.
+    the text. Each word carries the few words after it and meets the distinct
+    phrases by an equi-join on the first word; hits are counted per document and
+    phrase before anything is shuffled, and only then spread over the symbols that
+    share the phrase. ``max_words`` is the longest alias.
     """
     words = docs.select("doc_id", tokens(F.col("text")).alias("w")).select(
         "doc_id", "w", F.posexplode("w").alias("pos", "first_word"))
     runs = words.select("doc_id", "first_word", F.slice("w", F.col("pos") + 1, F.lit(max_words)).alias("run"))
-    hits = runs.join(phrase_table, "first_word").filter(F.slice("run", F.lit(1), F.size("phrase")) == F.col("phrase"))
-    per_doc = hits.groupBy("doc_id", "symbol", "needs_context").agg(
-        F.count_if("is_alias").alias("occurrences"), F.count_if(~F.col("is_alias")).alias("context_hits"))
+    distinct = phrase_table.select("first_word", "phrase", "phrase_text").dropDuplicates(["phrase_text"])
+    hits = runs.join(distinct, "first_word").filter(
+        F.slice("run", F.lit(1), F.size("phrase")) == F.col("phrase")
+    ).groupBy("doc_id", "phrase_text").agg(F.count(F.lit(1)).alias("n"))
+    spread_out = hits.join(phrase_table.select("symbol", "phrase_text", "is_alias", "needs_context"), "phrase_text")
+    per_doc = spread_out.groupBy("doc_id", "symbol", "needs_context").agg(
+        F.sum(F.when(F.col("is_alias"), F.col("n"))).alias("occurrences"),
+        F.max(~F.col("is_alias")).alias("in_context"))
     return per_doc.filter(
-        (F.col("occurrences") > 0) & (~F.col("needs_context") | (F.col("context_hits") > 0))
+        (F.col("occurrences") > 0) & (~F.col("needs_context") | F.col("in_context"))
     ).select("doc_id", "symbol", "occurrences")
 
 
@@ -57,14 +64,14 @@ def mention_counts(found: DataFrame, *axes: str) -> DataFrame:
         F.count(F.lit(1)).alias("mentions"), F.round(F.sum(1 + F.log10("occurrences")), 6).alias("weight"))
 
 
-def one_per_text(docs: DataFrame) -> DataFrame:
-    """Copies of a text count as one document: the lowest id of each text.
+def first_copies(docs: DataFrame) -> DataFrame:
+    """Lowest id of each text, so that a news item carried many times counts once.
 
-    Only digests and ids are shuffled, and copies collapse in the map tasks.
+    Only ids leave here: keep mentions of these documents by a semi-join, which
+    moves short rows and never the texts. Copies collapse in the map tasks.
     """
     digest = F.sha2(F.regexp_replace(F.trim(F.lower("text")), r"\s+", " "), 256)
-    firsts = docs.select("doc_id", digest.alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    return docs.join(firsts.select("doc_id"), "doc_id", "left_semi")
+    return docs.select("doc_id", digest.alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
 def sentiment_score(label: Column) -> Column:
