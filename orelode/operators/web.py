@@ -25,6 +25,8 @@ class Vocabulary:
     block_words: list[str] = field(default_factory=lambda: dims.BLOCK_WORDS)
     name_nouns: list[str] = field(default_factory=lambda: dims.NAME_NOUNS)
     verbatim: bool = False
+    # also look for report documents among the link targets of a block
+    link_reports: bool = False
 
 
 MINING = Vocabulary()
@@ -112,16 +114,27 @@ def page_blocks(pages: DataFrame, vocabulary: Vocabulary = MINING) -> DataFrame:
 
     Rows carry ``url, page_title, block_pos, project_name, evidence, extraction_layer``.
     The choice is made inside the row, so the HTML is read once and never shuffled.
+    With ``link_reports`` there are also the resolved link targets, as ``hrefs``.
     """
+    base = F.col("url")
+
+    def targets(links: Column) -> list[Column]:
+        if not vocabulary.link_reports:
+            return []
+        return [F.transform(links, lambda a: U.join_url(base, a["href"])).alias("hrefs")]
+
     staged = pages.withColumn("live", H.live_html(F.col("html"))).select(
         *[c for c in pages.columns if c != "html"],
         H.page_title(F.col("live")).alias("page_title"),
         H.page_lines(F.col("live")).alias("lines"),
         F.transform(
             H.project_cards(F.col("html")),
-            lambda b: F.struct(b["attrs"].alias("attrs"), H.html_text(b["body"]).alias("text")),
+            lambda b: F.struct(b["attrs"].alias("attrs"), H.html_text(b["body"]).alias("text"),
+                               *targets(H.page_links(H.live_html(b["body"])))),
         ).alias("cards"),
+        *targets(H.page_links(F.col("live"))),
     )
+    carried = ["hrefs"] if vocabulary.link_reports else []
     likely = F.filter(
         F.col("cards"),
         lambda c: H.likely_block(c["attrs"], c["text"], vocabulary.block_words, vocabulary.link_terms))
@@ -129,13 +142,14 @@ def page_blocks(pages: DataFrame, vocabulary: Vocabulary = MINING) -> DataFrame:
         likely,
         lambda c: F.struct(
             T.project_name(T.split_text_lines(c["text"]), vocabulary.name_nouns).alias("project_name"),
-            c["text"].alias("evidence"), F.lit("semantic_html").alias("extraction_layer"))))
+            c["text"].alias("evidence"), F.lit("semantic_html").alias("extraction_layer"),
+            *[c[x].alias(x) for x in carried])))
     staged = staged.withColumn("cards", F.filter("cards", lambda c: c["project_name"] != ""))
     staged = staged.withColumn("page_text", F.array_join("lines", "\n"))
     whole = F.struct(
         T.inferred_name(U.path(F.col("url")), F.col("page_title"), T.split_text_lines(F.col("page_text")),
                         vocabulary.verbatim).alias("project_name"),
-        F.col("page_text").alias("evidence"), F.lit("page_context").alias("extraction_layer"))
+        F.col("page_text").alias("evidence"), F.lit("page_context").alias("extraction_layer"), *carried)
     context = F.when(H.substantive(F.col("page_text"), vocabulary.link_terms), F.array(whole))
     blocks = F.when(F.size("cards") > 0, F.col("cards")).otherwise(context)
     kept = [c for c in pages.columns if c != "html"]
@@ -146,6 +160,10 @@ def page_blocks(pages: DataFrame, vocabulary: Vocabulary = MINING) -> DataFrame:
 def with_project_fields(blocks: DataFrame, verbatim: bool = False) -> DataFrame:
     """Fields read from the evidence text of each block, and the confidence."""
     evidence = F.col("evidence")
+    report_links = T.report_urls(evidence)
+    if "hrefs" in blocks.columns:
+        named = F.filter("hrefs", lambda u: u.rlike(T.words(dims.REPORT_URL_WORDS)))
+        report_links = T.clean_unique(F.concat(report_links, named), 10)
     staged = blocks.withColumn("evidence_lines", T.split_text_lines(evidence))
     staged = staged.select(
         "*",
@@ -158,7 +176,7 @@ def with_project_fields(blocks: DataFrame, verbatim: bool = False) -> DataFrame:
         T.resource_text(evidence, "inferred").alias("inferred_mineral_resources"),
         T.topic_sentences(evidence).alias("geology_text"),
         T.json_array(T.report_names(evidence)).alias("technical_report_names_json"),
-        T.json_array(T.report_urls(evidence)).alias("technical_report_urls_json"),
+        T.json_array(report_links).alias("technical_report_urls_json"),
     ).drop("evidence_lines")
     return staged.withColumn(
         "confidence",

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from orelode import dims
-from orelode.operators import coverage, market, media, video, web
+from orelode.operators import coverage, health, market, media, video, web
+from orelode.operators.ranking import top_n_per
 from orelode.plans import jobs
 from orelode.plans.portfolio import project_portfolio
 
@@ -255,3 +256,29 @@ def test_hot_key_gives_the_same_rows(spark):
     a = sorted(map(tuple, video.newest_videos(videos.coalesce(1)).collect()))
     b = sorted(map(tuple, video.newest_videos(videos.repartition(32)).collect()))
     assert a == b and len(a) == 510
+
+
+@pytest.mark.parametrize("n", [3, 1500])
+def test_top_n_beyond_the_map_side_bound(spark, n):
+    rows = spark.range(9000).select(F.when(F.col("id") < 7000, "hot").otherwise("cold").alias("k"), "id")
+    got = defaultdict(list)
+    for r in top_n_per(rows, ["k"], [F.col("id").desc()], n, keep_rank="r").collect():
+        got[r["k"]].append((r["r"], r["id"]))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "hot": [(i + 1, 6999 - i) for i in range(n)], "cold": [(i + 1, 8999 - i) for i in range(n)]}
+
+
+def test_report_documents_among_the_links(spark):
+    body = CARD.format("Hope").replace("</p>", ' <a href="/docs/hope-technical-report.pdf">Report</a><a href="/x">x</a></p>')
+    pages = spark.createDataFrame([("https://www.aa.com/hope", page("Hope", body))], "url string, html string")
+    for flag, want in ((False, "[]"), (True, '["https://www.aa.com/docs/hope-technical-report.pdf"]')):
+        row = web.with_project_fields(web.page_blocks(pages, web.Vocabulary(link_reports=flag))).first()
+        assert row["technical_report_urls_json"] == want
+
+
+def test_branch_filter_and_columns_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    spark.createDataFrame([("w", 1, "main", "success", "wide")], "workflow_file string, id long, branch string, conclusion string, note string").withColumn(
+        "created_at", F.lit("2024-01-01").cast("timestamp_ntz")).withColumn("updated_at", F.col("created_at")).write.parquet(path)
+    plan = health.run_heads(health.on_branch(spark.read.parquet(path), "main"))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(branch,main)" in plan and "note" not in plan
