@@ -42,8 +42,10 @@ def mentions(docs: DataFrame, phrase_table: DataFrame, max_words: int = 4) -> Da
     phrase before anything is shuffled, and only then spread over the symbols that
     share the phrase. ``max_words`` is the longest alias.
     """
+    # the outer form, as the plain one makes the optimizer tokenise once more in a
+    # filter for empty texts; their one NULL word joins nothing
     words = docs.select("doc_id", tokens(F.col("text")).alias("w")).select(
-        "doc_id", "w", F.posexplode("w").alias("pos", "first_word"))
+        "doc_id", "w", F.posexplode_outer("w").alias("pos", "first_word"))
     runs = words.select("doc_id", "first_word", F.slice("w", F.col("pos") + 1, F.lit(max_words)).alias("run"))
     distinct = phrase_table.select("first_word", "phrase", "phrase_text").dropDuplicates(["phrase_text"])
     hits = runs.join(distinct, "first_word").filter(
