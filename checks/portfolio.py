@@ -129,13 +129,12 @@ def status_fallback(spark, sf):
 
 
 # A channel page is made of each page by putting an identifier in its place.
-@query("channel_id", """SELECT page_id, 'UC' || substr(sha1(url), 1, 22) AS channel_id FROM pages
-WHERE contains(html, '<footer>') OR contains(html, '<title>')""")
+@query("channel_id", """SELECT page_id, CASE WHEN contains(html, CASE WHEN starts_with(url, 'https') THEN '<footer>' ELSE '<title>' END)
+  THEN 'UC' || substr(sha1(url), 1, 22) END AS channel_id FROM pages""")
 def channel_id(spark, sf):
     name = F.concat(F.lit("UC"), F.substring(F.sha1("url"), 1, 22))
     external = F.concat(F.lit('<footer>"externalId":"'), name, F.lit('"'))
     linked = F.concat(F.lit("<title>https://www.youtube.com/channel/"), name, F.lit("/about "))
     html = F.when(F.col("url").startswith("https"), F.replace("html", F.lit("<footer>"), external)).otherwise(
         F.replace("html", F.lit("<title>"), linked))
-    found = cw.pages(spark, sf).select("page_id", H.channel_id(html).alias("channel_id"))
-    return found.filter(F.col("channel_id").isNotNull())
+    return cw.pages(spark, sf).select("page_id", H.channel_id(html).alias("channel_id"))
