@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orelode.llm import licenses, packing, simhash, warc
-from orelode.llm.shared import small_batches
+from orelode.llm import language, licenses, packing, simhash, warc
+from orelode.llm.shared import remainder, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +59,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM p LEFT JOIN f ON payload_digest = digest AND payload_bytes >= 100""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark, table(spark, sf_dir, "pages"))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = language.fit(docs.where(~held_out).select("text", "lang"))
+    found = docs.select("doc_id", held_out.alias("held_out"), language.identify(F.col("text"), model).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
