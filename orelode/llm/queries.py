@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm import language, licenses, packing, simhash, warc
-from orelode.llm.shared import remainder, small_batches
+from orelode.llm import language, licenses, packing, quality, simhash, warc
+from orelode.llm.shared import remainder, settle, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(~held_out).select("text", "lang"))
     found = docs.select("doc_id", held_out.alias("held_out"), language.identify(F.col("text"), model).alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+@query("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = remainder(F.col("doc_id"), 5)
+    rows = settle(docs.select("doc_id", fold.alias("fold"), quality.statistics_of(F.col("text")).alias("stats")), "stats")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    labelled = rows.where("fold <> 0").join(labels, "doc_id").select(
+        "stats", "label", (F.col("fold") == 1).alias("calibrate"))
+    scored = rows.withColumn("score", quality.score(F.col("stats"), quality.fit(labelled)))
+    return scored.select(
+        "doc_id", (F.col("fold") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
