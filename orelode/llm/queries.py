@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm import language, licenses, packing, quality, simhash, warc
+from orelode.llm import language, licenses, packing, pii, quality, simhash, warc
 from orelode.llm.shared import remainder, settle, small_batches
 
+#: Key of the pseudonyms here; a real run takes it from a secret store.
+PII_KEY = "a key of the corpus"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -81,3 +84,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = rows.withColumn("score", quality.score(F.col("stats"), quality.fit(labelled)))
     return scored.select(
         "doc_id", (F.col("fold") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
