@@ -26,18 +26,13 @@ END = 1
 LARGEST = 2048
 
 #: Words whose ids a worker remembers before it starts afresh; only time depends on it.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 # The pattern that splits text before the merges, and the characters it counts as space.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
-_STARTS = re.compile(f" (?=[^{SPACES}])")
-_SPACE = re.compile(f"[{SPACES}]")
-
-
-class _Irregular(Exception):
-    """A word after which the short way of ``Ids`` does not hold."""
+_STARTS = re.compile(f"(?= [^{SPACES}])")
 
 
 def _bytes_of_letters() -> dict[str, int]:
@@ -47,12 +42,13 @@ def _bytes_of_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Ids(dict):
+class Ids:
     """Token ids of texts under a byte-level vocabulary file, equal to those of its tokenizer.
 
     A space before a visible character always begins a token, so a text is cut there and
-    the ids of each word are looked up; words not yet seen are merged with the ranks of
-    the same file. Texts that hold a special token go through the tokenizer itself.
+    the ids of each word are looked up. Words not yet seen are merged together with the
+    ranks of the same file and told apart by the tokens that begin with a space. Texts that
+    hold a special token go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -64,26 +60,38 @@ class Ids(dict):
         ranks = {bytes(letters[c] for c in k): v for k, v in vocabulary["model"]["vocab"].items()
                  if k not in self.special}
         self.merge = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-
-    def __missing__(self, word: str):
-        if not word or _SPACE.match(word):
-            raise _Irregular
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = ids = self.merge.encode_ordinary(" " + word)
-        return ids
-
-    def of(self, text: str) -> np.ndarray:
-        if any(x in text for x in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        first, *words = text.split(" ")
-        start = self.merge.encode_ordinary(first)
-        try:
-            return np.fromiter(chain(start, chain.from_iterable(map(self.__getitem__, words))), np.uint32)
-        except _Irregular:
-            first, *words = _STARTS.split(text)
-            ids = [self.merge.encode_ordinary(first), *(self.merge.encode_ordinary(" " + w) for w in words)]
-            return np.fromiter(chain.from_iterable(ids), np.uint32)
+        self.begins = np.zeros(max(ranks.values()) + 1, bool)
+        self.begins[[v for k, v in ranks.items() if k[:1] == b" "]] = True
+        self.words: dict[str, bytes] = {}
+
+    def merged(self, text: str) -> bytes:
+        return self.merge.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Remembers the ids of all words that a space can stand before."""
+        fresh = [w for w in words.difference(self.words) if w and w[0] not in SPACES]
+        if not fresh:
+            return
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+            fresh = [w for w in words if w and w[0] not in SPACES]
+        ids = self.merge.encode_to_numpy(" " + " ".join(fresh), disallowed_special=()).astype("<u4")
+        at = (4 * np.append(np.flatnonzero(self.begins[ids]), len(ids))).tolist()
+        data = ids.tobytes()
+        self.words.update(zip(fresh, map(data.__getitem__, map(slice, at, at[1:])), strict=True))
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        cuts = [text.split(" ") for text in texts]
+        self.learn(set(chain.from_iterable(cuts)))
+        for text, words in zip(texts, cuts, strict=True):
+            if any(x in text for x in self.special):
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            try:
+                yield self.merged(words[0]) + b"".join(map(self.words.__getitem__, words[1:]))
+            except KeyError:  # a space stands before white space or the end
+                yield b"".join(map(self.merged, _STARTS.split(text)))
 
 
 @cache
@@ -102,28 +110,30 @@ def cut(n: int, largest: int = LARGEST) -> list[tuple[int, int]]:
     return starts
 
 
-PIECES = "array<struct<start:long,length:long,ids_crc32:long,ids:binary>>"
+PIECES = "array<struct<start:long,length:long,ids_crc32:long,doc_tokens:long,ids:binary>>"
 
 
 def _pieces(path: str, largest: int, with_ids: bool):
-    kind = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+    kind = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
+                      ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids = ids_of(path)
         for batch in batches:
-            offsets, starts, lengths, sums, datas = [0], [], [], [], []
-            for text in batch:
-                own = np.append(ids.of(text.as_py() or ""), np.uint32(END)).astype("<u4").tobytes()
+            offsets, starts, lengths, sums, totals, datas = [0], [], [], [], [], []
+            for own in ids.of([x or "" for x in batch.to_pylist()]):
+                own += END.to_bytes(4, "little")
                 for start, length in cut(len(own) // 4, largest):
                     data = own[4 * start:4 * (start + length)]
                     starts.append(start)
                     lengths.append(length)
                     sums.append(zlib.crc32(data))
+                    totals.append(len(own) // 4)
                     datas.append(data if with_ids else None)
                 offsets.append(len(starts))
             rows = pa.StructArray.from_arrays(
                 [pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64()),
-                 pa.array(datas, pa.binary())], fields=list(kind))
+                 pa.array(totals, pa.int64()), pa.array(datas, pa.binary())], fields=list(kind))
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
     return F.arrow_udf(pieces, PIECES)
@@ -145,13 +155,10 @@ def pack(docs: DataFrame, vocabulary: str, largest: int = LARGEST, with_ids: boo
     if largest < 1 or largest & (largest - 1):
         raise ValueError("the largest length must be a power of two")
     pieces = _pieces(vocabulary, largest, with_ids)(F.col(text_col))
-    rows = docs.select(F.col(id_col), pieces.alias("pieces"))
-    total = F.element_at("pieces", -1)
-    rows = rows.withColumn("doc_tokens", total["start"] + total["length"])
-    rows = rows.select(id_col, "doc_tokens", F.explode("pieces").alias("piece"))
+    rows = docs.select(F.col(id_col), F.explode(pieces).alias("piece"))
     keep = ["piece.start", "piece.length", "piece.ids_crc32"] + (["piece.ids"] if with_ids else [])
     return rows.select(
-        id_col, *keep, "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"),
+        id_col, *keep, "piece.doc_tokens", F.monotonically_increasing_id().alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"), F.log2("piece.length").cast("int").alias("bucket"))
 
 

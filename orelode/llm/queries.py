@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm import language, licenses, packing, pii, quality, simhash, warc
+from orelode.llm import decontaminate, language, licenses, neighbours, packing, pii, quality, simhash, warc
 from orelode.llm.shared import remainder, settle, small_batches
 
 #: Key of the pseudonyms here; a real run takes it from a secret store.
@@ -89,3 +89,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+@query("op8_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op2_decontaminate")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
