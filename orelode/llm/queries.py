@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm import decontaminate, language, licenses, neighbours, packing, pii, quality, simhash, warc
+from orelode.llm import decontaminate, language, licenses, neighbours, packing, pii, quality, simhash, tokens, warc
 from orelode.llm.shared import remainder, settle, small_batches
 
 #: Key of the pseudonyms here; a real run takes it from a secret store.
@@ -99,3 +99,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_decontaminate")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_token_output")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tokens.matrices(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.segments(settle(rows, "tokens"))
