@@ -22,10 +22,10 @@ def day(text: str):
 
 @query("upsert_checks", """WITH target AS (
   SELECT user_id, arg_max(event_type, event_id) AS status, arg_max(value, event_id) AS value FROM events
-  WHERE ts < TIMESTAMP '2024-01-02' GROUP BY user_id),
+  WHERE ts < TIMESTAMP '2024-01-16' GROUP BY user_id),
 batch AS (
   SELECT user_id, arg_max(event_type, event_id) AS status, arg_max(value, event_id) AS value FROM events
-  WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY user_id)
+  WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY user_id)
 SELECT coalesce(b.user_id, t.user_id) AS user_id,
   CASE WHEN b.user_id IS NULL THEN t.status ELSE b.status END AS status,
   CASE WHEN b.user_id IS NULL THEN t.value ELSE b.value END AS value,
@@ -33,10 +33,10 @@ SELECT coalesce(b.user_id, t.user_id) AS user_id,
   CASE WHEN b.user_id IS NULL THEN '2024-01-02T00:00:00Z' ELSE '2024-01-31T00:00:00Z' END AS updated_at
 FROM target t FULL JOIN batch b ON t.user_id = b.user_id""")
 def upsert_checks(spark, sf):
-    target = user_state(spark, sf, F.col("ts") < day("2024-01-02")).withColumn(
+    target = user_state(spark, sf, F.col("ts") < day("2024-01-16")).withColumn(
         "created_at", day("2024-01-02")).withColumn("updated_at", day("2024-01-02"))
     # every event of a user is in the batch; the last to arrive wins
-    batch = table(spark, sf, "events").filter(F.col("ts") >= day("2024-01-29")).select(
+    batch = table(spark, sf, "events").filter(F.col("ts") >= day("2024-01-16")).select(
         "user_id", F.col("event_type").alias("status"), "value", F.col("event_id").alias("arrival"))
     return plain(keyed.upsert(target, batch, ["user_id"], NOW, arrival="arrival"))
 
@@ -46,12 +46,12 @@ def upsert_checks(spark, sf):
   WHERE o_orderstatus = 'F' GROUP BY o_custkey),
 batch AS (
   SELECT substr(sha1('alert|orders|' || o_custkey), 1, 24) AS id, count(*) AS n FROM orders
-  WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey)
+  WHERE o_orderstatus <> 'F' GROUP BY o_custkey)
 SELECT coalesce(t.id, b.id) AS id,
   CASE WHEN b.id IS NULL THEN 'critical' ELSE 'warning' END AS severity,
-  CASE WHEN t.id IS NULL THEN 'urgent' ELSE 'finished' END AS title,
-  CASE WHEN b.id IS NULL THEN t.n || ' finished' ELSE b.n || ' urgent' END AS message,
-  CASE WHEN t.id IS NULL THEN 'urgent' ELSE 'finished' END AS source,
+  CASE WHEN t.id IS NULL THEN 'open' ELSE 'finished' END AS title,
+  CASE WHEN b.id IS NULL THEN t.n || ' finished' ELSE b.n || ' open' END AS message,
+  CASE WHEN t.id IS NULL THEN 'open' ELSE 'finished' END AS source,
   CASE WHEN t.id IS NULL THEN NULL ELSE 'desk' END AS sent_to,
   CASE WHEN b.id IS NULL THEN strftime(newest, '%Y-%m-%dT%H:%M:%SZ') ELSE '2024-01-31T00:00:00Z' END AS sent_at,
   CASE WHEN b.id IS NULL THEN strftime(newest, '%Y-%m-%dT%H:%M:%SZ') END AS resolved_at,
@@ -69,10 +69,10 @@ def upsert_alerts_reopen(spark, sf):
         "id", F.lit("critical").alias("severity"), F.lit("finished").alias("title"), "message",
         F.lit("finished").alias("source"), F.lit("desk").alias("sent_to"), F.col("newest").alias("sent_at"),
         F.col("newest").alias("resolved_at"), F.col("newest").alias("created_at"), F.col("newest").alias("updated_at"))
-    alerts = orders.filter(F.col("o_orderpriority") == "1-URGENT").groupBy("id").agg(
-        F.concat(count, F.lit(" urgent")).alias("message")).select(
-        "id", F.lit("warning").alias("severity"), F.lit("urgent").alias("title"), "message",
-        F.lit("urgent").alias("source"), F.lit(None).cast("string").alias("sent_to"), moment(NOW).alias("sent_at"),
+    alerts = orders.filter(F.col("o_orderstatus") != "F").groupBy("id").agg(
+        F.concat(count, F.lit(" open")).alias("message")).select(
+        "id", F.lit("warning").alias("severity"), F.lit("open").alias("title"), "message",
+        F.lit("open").alias("source"), F.lit(None).cast("string").alias("sent_to"), moment(NOW).alias("sent_at"),
         F.lit(None).cast("timestamp_ntz").alias("resolved_at"))
     return plain(keyed.upsert_alerts(target, alerts, NOW))
 

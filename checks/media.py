@@ -1,7 +1,7 @@
 """Mentions, sentiment and lookups on ``documents``.
 
-The benchmark items are the symbols: their aliases are the first word and the
-first two words of the item, their context is the fifth word. A label gives the sentiment of a document.
+The benchmark items are the symbols: their aliases are the first two, three and seven
+words of the item, their context is the fifth word. A label gives the sentiment of a document.
 """
 
 from __future__ import annotations
@@ -16,20 +16,20 @@ def symbols(spark, sf):
     w = media.tokens(F.col("text"))
     return table(spark, sf, "benchmark").select(
         F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("symbol"), w.alias("w")).select(
-        "symbol",
-        F.array(F.get("w", F.lit(0)), F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1)))).alias("aliases"),
+        "symbol", F.array(*(F.array_join(F.slice("w", 1, n), " ") for n in (2, 3, 7))).alias("aliases"),
         F.when(F.get("w", F.lit(4)).isNotNull(), F.array(F.get("w", F.lit(4)))).alias("context"))
 
 
 MENTIONS = """words AS (
   SELECT 'B' || item_id AS symbol, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
 alias AS (
-  SELECT DISTINCT symbol, unnest([lower(symbol), w[1], w[1] || ' ' || w[2]]) AS phrase FROM words),
+  SELECT DISTINCT symbol, unnest([lower(symbol), array_to_string(w[1:2], ' '), array_to_string(w[1:3], ' '),
+    array_to_string(w[1:7], ' ')]) AS phrase FROM words),
 docw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
-tok AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM docw),
+tok AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docw),
 gram AS (
-  SELECT doc_id, t AS phrase FROM tok
-  UNION ALL SELECT a.doc_id, a.t || ' ' || b.t FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+  SELECT doc_id, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM tok, (SELECT unnest(range(1, 8)) AS n)
+  WHERE i + n - 1 <= len(w)),
 hits AS (SELECT doc_id, symbol, count(*) AS occurrences FROM gram JOIN alias USING (phrase) GROUP BY ALL),
 found AS (
   SELECT h.doc_id, h.symbol, h.occurrences FROM hits h JOIN words s USING (symbol) JOIN docw d USING (doc_id)
@@ -37,7 +37,7 @@ found AS (
 
 
 def found(spark, sf):
-    return media.mentions(texts(spark, sf, "documents"), media.phrases(symbols(spark, sf)), max_words=2)
+    return media.mentions(texts(spark, sf, "documents"), media.phrases(symbols(spark, sf)))
 
 
 @query("mentions", f"WITH {MENTIONS} SELECT * FROM found")

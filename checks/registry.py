@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from orelode.functions.times import iso_text
-from orelode.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,8 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of long texts, read for costly work on each."""
-    return spread(table(spark, sf_dir, name))
+    """A table of long texts. The shared tables are single files that Spark cannot split, so they are dealt out."""
+    return table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism)
 
 
 def plain(df: DataFrame) -> DataFrame:

@@ -97,16 +97,24 @@ def url_forms(spark, sf):
         U.path_url(u, F.lit("/x/../operations/?all=1#top")).alias("landing"))
 
 
-@query("same_site_pages", f"""WITH s AS (SELECT page_id, {S.SITE.format('url')} AS site FROM pages),
-home AS (SELECT DISTINCT regexp_extract(site, '([^.]+\\.[^.]+\\.[^.]+)$', 1) AS base FROM s)
-SELECT page_id, base FROM s JOIN home ON base = regexp_extract(site, '([^.]+\\.[^.]+\\.[^.]+)$', 1)
-WHERE base <> '' AND (site = base OR ends_with(site, '.' || base))""")
+# Each page meets the page after it and, by turns, the domain of its own host and a longer name that ends alike.
+@query("same_site_pages", f"""WITH s AS (SELECT page_id, url, {S.SITE.format('url')} AS site FROM pages),
+near AS (
+  SELECT a.page_id, a.site, b.site AS other, 'next' AS kind FROM s a JOIN s b ON b.page_id = a.page_id + 1
+  UNION ALL SELECT page_id, site, CASE WHEN page_id % 2 = 0 THEN regexp_extract(site, '([^.]+\\.[^.]+\\.[^.]+)$', 1)
+    ELSE 'x' || site END, 'made' FROM s)
+SELECT page_id, kind, site <> '' AND other <> '' AND (
+  site = other OR ends_with(site, '.' || other) OR ends_with(other, '.' || site)) AS same FROM near""")
 def same_site_pages(spark, sf):
     found = pages(spark, sf).select("page_id", "url")
-    base = F.regexp_extract(U.site(F.col("url")), r"([^.]+\.[^.]+\.[^.]+)$", 1)
-    keyed = found.withColumn("base", base).filter(F.col("base") != "")
-    homes = keyed.select("base").distinct().withColumn("home", F.concat(F.lit("https://www."), F.col("base"), F.lit("/")))
-    return keyed.join(homes, "base").filter(U.same_site(F.col("home"), F.col("url"))).select("page_id", "base")
+    after = found.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("other"))
+    site = U.site(F.col("url"))
+    made = F.when(F.col("page_id") % 2 == 0, F.regexp_extract(site, r"([^.]+\.[^.]+\.[^.]+)$", 1)).otherwise(
+        F.concat(F.lit("x"), site))
+    made = F.when(made != "", F.concat(F.lit("https://"), made, F.lit("/"))).otherwise("")
+    pairs = found.join(after, "page_id").withColumn("kind", F.lit("next")).unionByName(
+        found.withColumn("other", made).withColumn("kind", F.lit("made")))
+    return pairs.select("page_id", "kind", U.same_site(F.col("url"), F.col("other")).alias("same"))
 
 
 CARDS = f"""{S.PAGES},
@@ -343,7 +351,7 @@ def cap_sorted(spark, sf):
 @query("min_confidence", f"""WITH {SCORED},
 best AS (SELECT * FROM project QUALIFY row_number() OVER (PARTITION BY symbol, lower(project_name)
   ORDER BY confidence + length(description_text) / 10000.0::DOUBLE DESC, doc_id) = 1)
-SELECT symbol, count(*) AS n FROM best WHERE confidence >= 0.52 GROUP BY symbol""")
+SELECT symbol, count(*) AS n FROM best WHERE confidence >= 0.8 GROUP BY symbol""")
 def min_confidence(spark, sf):
     best = web.keep_best(project_rows(spark, sf), [F.col("doc_id")])
-    return best.filter(F.col("confidence") >= 0.52).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    return best.filter(F.col("confidence") >= 0.8).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,9 +13,10 @@ from orelode import dims
 
 # runs of white space that are not one plain space already, so tidy text is passed over
 _SPACES = r"(?U)[\s\x1c-\x1f]{2,}+|[\s\x1c-\x1f&&[^ ]]"
-# names that HTML also accepts without the closing semicolon
-_BARE_NAMES = ("amp", "lt", "gt", "quot", "nbsp", "copy", "reg")
-_ENTITY = r"^(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};|(?:" + "|".join(_BARE_NAMES) + "))"
+# names that HTML also accepts without the closing semicolon, longest first
+_BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+# code points that HTML reads as others: 128 to 159 are letters of Windows-1252 where it has any
+_WINDOWS = [ord(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(128, 160)]
 
 
 def once(c: Column, use: Callable[[Column], Column]) -> Column:
@@ -27,23 +28,33 @@ def once(c: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _entity_names() -> str:
-    """The named references of HTML 4, as the SQL text of one constant map."""
-    pairs = "\u0001".join(f"{name}\u0002{chr(point)}" for name, point in sorted(name2codepoint.items()))
-    return f"str_to_map(r'{pairs}', '\u0001', '\u0002')"
+    """The named references of HTML 5, as the SQL text of one constant map."""
+    pairs = "\u0001".join(f"{name}\u0002{value}" for name, value in sorted(html5.items()))
+    return f"str_to_map(decode(X'{pairs.encode().hex()}', 'UTF-8'), '\u0001', '\u0002')"
 
 
-# Written as SQL, as it is used in many places and takes one call this way.
+# A code point as a character: what is no character becomes U+FFFD, what HTML forbids nothing.
+_CHARACTER = f"""n -> CASE
+  WHEN n BETWEEN 128 AND 159 THEN decode(unhex(lpad(hex(array({', '.join(map(str, _WINDOWS))})[int(n - 128)]), 8, '0')), 'UTF-32')
+  WHEN n = 0 OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN '\ufffd'
+  WHEN n < 9 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN ''
+  ELSE decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END"""
+
+# Written as SQL, as it is used in many places and takes one call this way. Numbers are cut
+# to nine digits after their leading zeros: any such number is beyond all characters already.
 _UNESCAPE = rf"""s -> CASE WHEN contains(s, '&') THEN array_join(transform(split(s, '&'), (part, i) ->
-  CASE WHEN i = 0 THEN part ELSE transform(array(regexp_extract(part, r'{_ENTITY}', 1)), ref ->
-    coalesce(
-      CASE
-        WHEN ref RLIKE '^#[0-9]' THEN
-          decode(unhex(lpad(conv(regexp_replace(ref, '[#;]', ''), 10, 16), 8, '0')), 'UTF-32')
-        WHEN ref RLIKE '^#[xX]' THEN
-          decode(unhex(lpad(regexp_replace(ref, '[#xX;]', ''), 8, '0')), 'UTF-32')
-        WHEN ref <> '' THEN try_element_at({_entity_names()}, rtrim(';', ref))
-      END || substring(part, length(ref) + 1),
-      '&' || part))[0] END), '') ELSE s END"""
+  CASE WHEN i = 0 THEN part
+       WHEN part RLIKE '^#(?:[0-9]|[xX][0-9a-fA-F])' THEN
+         transform(array(CASE WHEN part RLIKE '^#[0-9]'
+             THEN bigint('0' || regexp_extract(part, '^#0*([0-9]{{0,9}})', 1))
+             ELSE bigint(conv('0' || regexp_extract(part, '^#[xX]0*([0-9a-fA-F]{{0,9}})', 1), 16, 10)) END), {_CHARACTER})[0]
+         || regexp_replace(part, '^#(?:[xX][0-9a-fA-F]+|[0-9]+);?', '')
+       ELSE transform(array(struct(regexp_extract(part, r'^([^	
+ <&#;]{{1,32}};)', 1) AS closed,
+                                   regexp_extract(part, r'^({_BARE})', 1) AS bare)), ref -> coalesce(
+         try_element_at({_entity_names()}, ref.closed) || substring(part, length(ref.closed) + 1),
+         try_element_at({_entity_names()}, nullif(ref.bare, '')) || substring(part, length(ref.bare) + 1),
+         '&' || part))[0] END), '') ELSE s END"""
 
 
 def unescape(c: Column) -> Column:

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_MINUTES = r"^(\s*\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})((?:Z|[+-]\d{2}:?\d{2})?\s*)$"
 _HAS_ZONE = r"\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$"
 
 
@@ -17,6 +18,7 @@ def utc_now() -> str:
 
 def parse_time(c: Column) -> Column:
     """ISO text to UTC wall-clock time; text without a zone is UTC, junk is NULL."""
+    c = F.regexp_replace(c, _MINUTES, "$1:00$2")  # Spark reads no time without seconds before a zone
     zoned = F.when(c.rlike(_HAS_ZONE) | ~c.contains(":"), c).otherwise(F.concat(c, F.lit("Z")))
     # a bare date would be read in the session zone, so give it midnight UTC
     zoned = F.when(c.rlike(r"^\s*\d{4}-\d{2}-\d{2}\s*$"), F.concat(F.trim(c), F.lit("T00:00:00Z"))).otherwise(zoned)

@@ -97,7 +97,11 @@ _JOIN = f"""p -> CASE
 
 
 def join_url(base: Column, ref: Column) -> Column:
-    """A reference resolved against a base URL, after RFC 3986 section 5."""
+    """A reference resolved against a base URL, after RFC 3986 section 5.
+
+    Tabs and line ends in the reference are dropped, and blanks and control characters before it.
+    """
+    ref = F.regexp_replace(F.regexp_replace(ref, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
     pair = F.array(F.struct(base.alias("base"), ref.alias("ref")))
     return F.get(F.call_function("transform", pair, F.expr(_JOIN)), F.lit(0))
 

@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 from orelode.functions.times import moment
 from orelode.operators.ranking import keep_first
+from orelode.session import settle
 
 _HIT = "batch_row_present"
 
 
 def last_per_key(batch: DataFrame, key: Sequence[str], arrival: str | None) -> DataFrame:
-    """One row per key, the last to arrive."""
+    """One row per key, the last to arrive; without an order a key with two rows is an error."""
     if arrival is None:
-        return batch.dropDuplicates(list(key))
+        rest = [F.first(c).alias(c) for c in batch.columns if c not in key]
+        one = batch.groupBy(*key).agg(F.count(F.lit(1)).alias(_HIT), *rest)
+        return one.filter(F.assert_true(F.col(_HIT) == 1, F.lit("rows of one key need an order of arrival")).isNull()).drop(_HIT)
     return keep_first(batch, key, [F.col(arrival).desc()]).drop(arrival)
 
 
@@ -32,11 +35,12 @@ def upsert(target: DataFrame, batch: DataFrame, key: Sequence[str], now, arrival
     ``created_at`` and ``updated_at`` are kept by the operator: inserts set both
     to ``now``, updates only the second. ``update_cols`` are the columns an
     update overwrites, all non-key columns by default; ``reset`` gives columns a
-    fixed value on update. ``arrival`` orders rows of one key within the batch.
+    fixed value on update. ``arrival`` orders rows of one key within the batch. The batch is
+    worked out once, to one row per key in the shared folder.
     """
     key = list(key)
     stamp = moment(now)
-    rows = last_per_key(batch, key, arrival)
+    rows = settle(last_per_key(batch, key, arrival), "batch")
     payload = [c for c in target.columns if c not in key and c not in ("created_at", "updated_at")]
     changed = [c for c in payload if c in rows.columns] if update_cols is None else list(update_cols)
     fixed = dict(reset or {})
@@ -65,10 +69,10 @@ def upsert(target: DataFrame, batch: DataFrame, key: Sequence[str], now, arrival
     return updated.unionByName(inserted)
 
 
-def upsert_alerts(target: DataFrame, alerts: DataFrame, now) -> DataFrame:
+def upsert_alerts(target: DataFrame, alerts: DataFrame, now, arrival: str | None = None) -> DataFrame:
     """Repeat of a known alert updates severity, message and time, and opens it again."""
     unresolved = F.lit(None).cast(target.schema["resolved_at"].dataType)
-    return upsert(target, alerts, ["id"], now, update_cols=["severity", "message", "sent_at"],
+    return upsert(target, alerts, ["id"], now, arrival, update_cols=["severity", "message", "sent_at"],
                   reset={"resolved_at": unresolved})
 
 

@@ -33,20 +33,21 @@ def phrases(symbols: DataFrame) -> DataFrame:
         "phrase_text", F.array_join("phrase", " "))
 
 
-def mentions(docs: DataFrame, phrase_table: DataFrame, max_words: int = 4) -> DataFrame:
+def mentions(docs: DataFrame, phrase_table: DataFrame) -> DataFrame:
     """One row per document and symbol it mentions, with the number of occurrences.
 
     An alias must occur as a whole run of words, and a context word anywhere in
-    the text. Each word carries the few words after it and meets the distinct
-    phrases by an equi-join on the first word; hits are counted per document and
-    phrase before anything is shuffled, and only then spread over the symbols that
-    share the phrase. ``max_words`` is the longest alias.
+    the text. Each word carries as many words after it as the
+    longest phrase has and meets the distinct phrases by an equi-join on the first word;
+    hits are counted per document and phrase before anything is shuffled, and only then
+    spread over the symbols that share the phrase.
     """
     # the outer form, as the plain one makes the optimizer tokenise once more in a
     # filter for empty texts; their one NULL word joins nothing
     words = docs.select("doc_id", tokens(F.col("text")).alias("w")).select(
         "doc_id", "w", F.posexplode_outer("w").alias("pos", "first_word"))
-    runs = words.select("doc_id", "first_word", F.slice("w", F.col("pos") + 1, F.lit(max_words)).alias("run"))
+    longest = phrase_table.agg(F.coalesce(F.max(F.size("phrase")), F.lit(0))).scalar()
+    runs = words.select("doc_id", "first_word", F.slice("w", F.col("pos") + 1, longest).alias("run"))
     distinct = phrase_table.select("first_word", "phrase", "phrase_text").dropDuplicates(["phrase_text"])
     hits = runs.join(distinct, "first_word").filter(
         F.slice("run", F.lit(1), F.size("phrase")) == F.col("phrase")

@@ -70,15 +70,18 @@ def path_candidates(companies: DataFrame, known: DataFrame, landing: DataFrame,
     """
     base = companies.select("symbol", "homepage_url")
 
+    def place(group: int, pos: Column) -> Column:
+        return F.struct(F.lit(group).alias("list"), pos.cast("int").alias("pos")).alias("place")
+
     def listed(paths: DataFrame, rank: int) -> DataFrame:
         return base.join(paths, "symbol").select(
             "symbol", U.path_url(F.col("homepage_url"), F.col("path")).alias("url"),
-            F.lit(rank).alias("source_rank"), F.col("pos").cast("int").alias("place"))
+            F.lit(rank).alias("source_rank"), place(0, F.col("pos")))
 
     shared = base.select(
         "symbol", "homepage_url", F.posexplode(F.array(*[F.lit(p) for p in common])).alias("pos", "path")
     ).select("symbol", U.path_url(F.col("homepage_url"), F.col("path")).alias("url"), F.lit(1).alias("source_rank"),
-             (F.col("pos") + 1000000).cast("int").alias("place"))
+             place(1, F.col("pos")))
     return listed(known, 0).unionByName(listed(landing, 1)).unionByName(shared)
 
 
@@ -102,7 +105,7 @@ def candidate_urls(companies: DataFrame, pages: DataFrame, known: DataFrame, lan
     named = pages.join(bases.select(F.col("page_url").alias("url")).distinct(), "url", "left_semi")
     parsed = page_parts(named).select(F.col("url").alias("page_url"), "links")
     links = scored_links(bases.join(parsed, "page_url"), vocabulary).select(
-        "symbol", "url", "source_rank", F.col("landing_no").alias("place"),
+        "symbol", "url", "source_rank", F.struct(F.lit(0).alias("list"), F.col("landing_no").alias("pos")).alias("place"),
         F.col("score").alias("score"), F.col("link_pos").alias("link_pos"))
     listed = paths.withColumn("score", F.lit(0).cast("long")).withColumn("link_pos", F.lit(0))
     order = [F.col("source_rank"), F.col("place"), F.col("score").desc(), F.col("link_pos")]

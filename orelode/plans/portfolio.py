@@ -14,10 +14,10 @@ from orelode.session import settle
 def project_portfolio(companies: DataFrame, curated: DataFrame, discovered: DataFrame, pages: DataFrame,
                       known: DataFrame, landing: DataFrame, retrieved_at, common: list[str] | None = None,
                       vocabulary: web.Vocabulary = web.MINING, min_confidence: float = 0.52,
-                      project_cap: int = 40) -> DataFrame:
+                      project_cap: int = 40, cap: int = 55, landing_cap: int = 10) -> DataFrame:
     """Project rows of all companies, and a status row for each company without any.
 
-    Two short tables are written on the way, the companies with their homepage and
+    Short tables are written on the way: the companies with their homepage and
     the candidate URLs. A page is parsed once for links and once for projects, and
     only if a company names it. At the default ``min_confidence`` no found row is
     dropped, as the lowest possible score is 0.60.
@@ -25,15 +25,15 @@ def project_portfolio(companies: DataFrame, curated: DataFrame, discovered: Data
     keyed = pages.select(normalize_url(F.col("url")).alias("url"), "html")
 
     # The homepage itself must be in the snapshot; a company without it has failed.
-    # The company table is short next to the pages, and most branches start from it.
-    snapshot = keyed.select(F.col("url").alias("home_key")).distinct().withColumn("fetched", F.lit(True))
-    placed = settle(
+    # The company table is short next to the pages, so only URLs that are a homepage are counted.
+    homes = settle(
         coverage.resolve_homepages(companies, curated, discovered)
-        .withColumn("home_key", normalize_url(F.col("homepage_url")))
-        .join(snapshot, "home_key", "left").drop("home_key"),
-        "companies")
+        .withColumn("home_key", normalize_url(F.col("homepage_url"))), "homepages")
+    snapshot = keyed.select(F.col("url").alias("home_key")).join(
+        homes.select("home_key"), "home_key", "left_semi").distinct().withColumn("fetched", F.lit(True))
+    placed = settle(homes.join(snapshot, "home_key", "left").drop("home_key"), "companies")
     reachable = placed.filter(F.col("fetched").isNotNull())
-    candidates = settle(web.candidate_urls(reachable, keyed, known, landing, common, vocabulary), "candidates")
+    candidates = settle(web.candidate_urls(reachable, keyed, known, landing, common, vocabulary, landing_cap, cap), "candidates")
 
     wanted = keyed.join(candidates.select("url").distinct(), "url", "left_semi")
     fields = web.with_project_fields(web.page_blocks(wanted, vocabulary), vocabulary.verbatim)

@@ -25,27 +25,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written tables and streaming checkpoints.
+    """A fresh folder for written tables and streaming checkpoints, deleted when the application ends.
 
-    It lies in the shared folder the cluster names; a machine-local folder is
-    used only where that is unset and all tasks run in this one process.
+    It lies in the shared folder the cluster names. Only where none is named and all tasks
+    run in this one process is a folder of our own set for the session.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors can reach")
-        base = tempfile.mkdtemp(prefix="orelode-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the input has fewer splits than the cluster has cores.
-
-    For costly per-row work on wide text. A large table already has splits enough
-    and is returned as it is, unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        base = f"{tempfile.gettempdir()}/orelode-{spark.sparkContext.applicationId}"
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

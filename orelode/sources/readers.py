@@ -115,7 +115,7 @@ def flatten_videos(pages: DataFrame) -> DataFrame:
     video_id = s["resourceId"]["videoId"]
     return each.filter(F.nullif(video_id, F.lit("")).isNotNull()).select(
         "channel_id",
-        (F.col("page").cast("long") * 1000 + F.col("pos")).alias("position"),
+        F.struct(F.col("page").cast("long").alias("page"), F.col("pos").cast("long").alias("pos")).alias("position"),
         video_id.alias("video_id"),
         F.coalesce(s["title"], F.lit("")).alias("title"),
         s["publishedAt"].alias("published_at"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orelode.functions.keys import empty_to_null, validate_not_null
 from orelode.operators import health, keyed
-from orelode.session import settle, spread
+from orelode.session import settle
 from orelode.sources import readers, writers
 from orelode.streaming import feeds
 
@@ -93,11 +93,8 @@ def test_writers_and_null_rule(spark, tmp_path):
     assert validate_not_null(empty_to_null(df), ["s"]).count() == 1
 
 
-def test_settle_and_spread(spark):
-    df = spark.range(10).coalesce(1)
-    assert settle(df, "x").count() == 10 and spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(10).repartition(64)
-    assert spread(many) is many
+def test_settle(spark):
+    assert settle(spark.range(10).coalesce(1), "x").count() == 10
 
 
 def split_files(spark, sf, folder, n=4):
