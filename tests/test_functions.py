@@ -296,3 +296,29 @@ def test_channel_id(spark):
     assert one(spark, H.channel_id(F.col("c")), c=f'x https://www.youtube.com/channel/{b} "externalId":"{a}"') == a
     assert one(spark, H.channel_id(F.col("c")), c=f"x https://www.youtube.com/channel/{b}/about") == b
     assert one(spark, H.channel_id(F.col("c")), c=f"/channel/{b}") is None
+
+
+def test_every_reference_is_decoded(spark):
+    """As the standard library does it: all names, numbers of any length, and what is no character."""
+    from html.entities import html5
+
+    texts = [f"a &{n} b" for n in html5] + [f"x&{n}y" for n in html5] + [f"&#{i};z" for i in (
+        *range(160), 173, 55295, 55296, 57343, 57344, 64976, 65533, 65534, 0x1FFFE, 1114111, 1114112, 9999999, 10**14)]
+    texts += ["&#x110000;", "&#xD800;", "&#00000039;", "&#x000000000041g", "&#", "&#x;", "&;", "& a", "&&amp;", "&notit;",
+              "&notin;", "&eacute", "&amp;lt;", "&unknown;", "&#146;s", "&#65x", "a&b&c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.unescape(F.col("t")).alias("v"))
+    assert {r.i: r.v for r in rows.collect()} == {i: pyhtml.unescape(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("when, want", [
+    ("2024-01-01T10:00Z", "2024-01-01 10:00:00"), ("2024-01-01 10:00", "2024-01-01 10:00:00"),
+    ("2024-01-01T10:00+05:30", "2024-01-01 04:30:00"), ("2024-01-01T10:00:30Z", "2024-01-01 10:00:30"), ("10:00", None)])
+def test_times_without_seconds(spark, when, want):
+    assert one(spark, times.parse_time(F.col("t")).cast("string"), t=when) == want
+
+
+@pytest.mark.parametrize("ref, want", [
+    (" /projects/a", "http://h.org/projects/a"), ("\n/projects", "http://h.org/projects"), ("a\tb", "http://h.org/b/c/ab"),
+    (" http://x.org/q", "http://x.org/q")])
+def test_blanks_before_a_link(spark, ref, want):
+    assert one(spark, urls.join_url(F.lit("http://h.org/b/c/d"), F.col("r")), r=ref) == want

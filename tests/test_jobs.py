@@ -228,6 +228,17 @@ def test_mentions(spark):
     assert count["mentions"] == 1 and count["weight"] == pytest.approx(1 + math.log10(3), abs=1e-6)
 
 
+def test_mentions_of_long_aliases(spark):
+    """No alias is too long to be found, and a run that lacks its last word is none."""
+    names = [" ".join(f"w{i}x{j}" for j in range(i)) for i in range(1, 8)] + ["Global Metals and Mining Producers ETF"]
+    symbols = spark.createDataFrame([(f"S{i}", [n], None) for i, n in enumerate(names)], "symbol string, aliases array<string>, context array<string>")
+    docs = spark.createDataFrame([(i, f"before {n}. after") for i, n in enumerate(names)] + [(99, "global metals and mining producers")],
+                                 "doc_id int, text string")
+    got = {(r["doc_id"], r["symbol"]) for r in media.mentions(docs, media.phrases(symbols)).collect()}
+    assert got == {(i, f"S{i}") for i in range(len(names))}
+    assert media.mentions(docs, media.phrases(symbols.limit(0))).count() == 0
+
+
 def test_sentiment_trend(spark):
     scored = spark.createDataFrame([(1, "A", 1), (1, "A", -1), (2, "A", 1), (3, "A", 1), (4, "A", -1)], "period int, company string, score int")
     got = {(r["axis"], r["value"], r["period"]): (r["mean_score"], r["trend"]) for r in media.sentiment_trend(scored, ["company"]).collect()}

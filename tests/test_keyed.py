@@ -62,3 +62,9 @@ def test_small_batch_does_not_shuffle_the_target(spark, tmp_path):
     spark.range(10).select("id", F.lit(2).alias("n")).write.parquet(small)
     plan = keyed.upsert(spark.read.parquet(path), spark.read.parquet(small), ["id"], NOW)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 3
+
+
+def test_repeated_keys_need_an_order(spark, target):
+    batch = spark.createDataFrame([("b", 1), ("b", 2)], "id string, n int")
+    with pytest.raises(Exception, match="order of arrival"):
+        keyed.upsert(target, batch, ["id"], NOW).collect()
