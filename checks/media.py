@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query, table, texts
-from orelode.operators import media
+from orelode.operators import media, preparation
 
 
 def symbols(spark, sf):
@@ -104,3 +104,21 @@ def symbol_canonical(spark, sf):
 def entity_lookup(spark, sf):
     companies = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("symbol"), F.col("p_name").alias("name"))
     return media.entity_lookup(companies, " Ring ")
+
+
+@query("boilerplate_lines", """WITH lines AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')))) AS line FROM documents),
+frequent AS (SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(*) >= 5),
+cut AS (
+  SELECT doc_id, string_split(text, chr(10)) AS old, coalesce((SELECT list(line) FROM frequent), []) AS f FROM documents),
+kept AS (SELECT doc_id, old, list_filter(old, lambda x: NOT list_contains(f, trim(x, ' '))) AS new FROM cut)
+SELECT doc_id, array_to_string(new, chr(10)) AS text, len(old) - len(new) AS dropped FROM kept""")
+def boilerplate_lines(spark, sf):
+    return preparation.without_boilerplate(texts(spark, sf, "documents"), 5)
+
+
+@query("noise_filter", """SELECT doc_id FROM documents
+WHERE length(text) >= 20 AND length(regexp_replace(text, '[^\\p{L}]', '', 'g')) >= 0.6::DOUBLE * length(text)""")
+def noise_filter(spark, sf):
+    docs = texts(spark, sf, "documents")
+    return docs.filter(preparation.is_prose(F.col("text"))).select("doc_id")
