@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orelode.llm import decontaminate, language, licenses, neighbours, packing, pii, quality, simhash, tokens, warc
-from orelode.llm.shared import remainder, settle, small_batches
+from orelode.llm.shared import prepare, remainder, settle
 
 #: Key of the pseudonyms here; a real run takes it from a secret store.
 PII_KEY = "a key of the corpus"
@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,31 +12,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import orelode
 from orelode.session import work_folder
 
 #: Texts that go to a Python worker at once; bounds its memory whatever the length of the table.
 BATCH_ROWS = 1000
 
+#: Applications whose executors have been given the package.
+_SHIPPED: set[str] = set()
 
-def small_batches(spark: SparkSession) -> None:
-    """Sends texts to Python workers in batches of at most ``BATCH_ROWS``."""
+
+def prepare(spark: SparkSession) -> None:
+    """Makes a session ready: small batches for Python workers, and this package on all of them."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder of the session; deleted when the application ends."""
-    folder = work_folder(spark, name)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(orelode.__file__))
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/orelode", "zip", root, "orelode"))
+        _SHIPPED.add(context.applicationId)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder and read back: lineage ends here and lost executors cost nothing."""
-    folder = shared_folder(df.sparkSession, name)
+    folder = work_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 

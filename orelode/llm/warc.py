@@ -20,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm.shared import settle, shared_folder
+from orelode.llm.shared import settle
+from orelode.session import work_folder
 
 #: Payload bytes after which a task begins a new archive; bounds what it holds in memory.
 ARCHIVE_BYTES = 16_000_000
@@ -213,7 +214,7 @@ def archive_pages(spark: SparkSession, pages: DataFrame, folder: str | None = No
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
         F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    folder = folder or shared_folder(spark, "warc")
+    folder = folder or work_folder(spark, "warc")
     if "://" not in folder and not folder.startswith("file:"):
         folder = f"file://{folder}"
     found = read(write(rows, folder), folder, payloads)
