@@ -124,8 +124,7 @@ def latest_success(spark, sf):
     return plain(df.select(*_HEAD_COLUMNS, F.col("run_rank").cast("long").alias("run_rank")))
 
 
-@query("run_projection", f"""WITH {RUNS}, {WORKFLOWS}
-SELECT substr(sha1('run|' || workflow_file || '|' || id), 1, 24) AS id, c.name AS job_name, workflow_file,
+RUN_ROW = f"""SELECT substr(sha1('run|' || workflow_file || '|' || id), 1, 24) AS id, c.name AS job_name, workflow_file,
   coalesce(r.name, c.name) AS workflow_name,
   CASE WHEN conclusion = 'success' THEN 'success'
        WHEN conclusion IN ('failure', 'timed_out', 'cancelled', 'action_required') THEN 'failed'
@@ -133,12 +132,21 @@ SELECT substr(sha1('run|' || workflow_file || '|' || id), 1, 24) AS id, c.name A
   {ISO.format('coalesce(run_started_at, created_at)')} AS started_at, {ISO.format('updated_at')} AS finished_at,
   greatest(0, date_diff('microsecond', coalesce(run_started_at, created_at), updated_at) // 1000000) AS duration_seconds,
   CAST(id AS VARCHAR) AS run_id, html_url AS run_url, 'main' AS branch, substr(head_sha, 1, 40) AS commit_sha,
-  display_title AS message
+  display_title AS message"""
+
+
+@query("run_projection", f"""WITH {RUNS}, {WORKFLOWS} {RUN_ROW}
 FROM runs r JOIN cfg c ON c.file = workflow_file WHERE branch = 'main'""")
 def run_projection(spark, sf):
     return plain(health.project_runs(health.on_branch(runs(spark, sf), "main"), workflows(spark, sf), "main"))
 
 
+@query("feed_job_runs", f"""WITH {RUNS}, {WORKFLOWS}, {RANKED} {RUN_ROW}
+FROM ranked r JOIN cfg c ON c.file = workflow_file WHERE run_rank = 1""")
+def feed_job_runs(spark, sf):
+    return plain(jobs.feed_health_job(runs(spark, sf), workflows(spark, sf), AS_OF).runs)
+
+
 CHECK_COLUMNS = ("id, check_name, category, target_name, status, severity, row_count, latest_data_at, freshness_hours, "
                  "threshold_hours, message, checked_at")
 
@@ -253,6 +261,14 @@ def table_summary(spark, sf):
     return health.table_summary(health.classify_table(table_config(spark), monitored(spark, sf), AS_OF))
 
 
+@query("table_job_alerts", f"""WITH {TABLE_CHECK} SELECT substr(sha1('alert|d1|' || label || ' needs attention'), 1, 24) AS id,
+  severity, label || ' needs attention' AS title, message, 'd1' AS source, CAST(NULL AS VARCHAR) AS sent_to,
+  checked_at AS sent_at, CAST(NULL AS VARCHAR) AS resolved_at
+FROM checks JOIN cfg ON tbl = target_name WHERE severity IN ('warning', 'critical')""")
+def table_job_alerts(spark, sf):
+    return plain(jobs.table_health_job(table_config(spark), monitored(spark, sf), AS_OF).alerts)
+
+
 # Statistics of each user's events, written in the three envelope layouts by
 # favourite event type, and as an error text for one of them.
 

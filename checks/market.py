@@ -177,7 +177,7 @@ def watch_alerts(spark, sf):
 
 @query("status_changes", """WITH c AS (
   SELECT 'wf' || user_id AS target_name, ts, event_type AS status,
-    lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS previous_status FROM events)
+    lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS previous_status FROM events)
 SELECT target_name, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS checked_at, status, previous_status FROM c
 WHERE previous_status IS NOT NULL AND status <> previous_status""")
 def status_changes(spark, sf):

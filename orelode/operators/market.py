@@ -159,11 +159,14 @@ def watch_alerts(bars: DataFrame, watchlist: DataFrame, threshold: float) -> Dat
 
 
 def status_changes(checks: DataFrame, watchlist: DataFrame | None = None) -> DataFrame:
-    """Checks (``target_name, checked_at, status``) whose status differs from the one before."""
+    """Checks (``target_name, checked_at, status``) whose status differs from the one before.
+
+    Checks of one moment are taken in the order of their status.
+    """
     rows = checks
     if watchlist is not None:
         rows = rows.join(watchlist.select("target_name"), "target_name", "left_semi")
-    w = Window.partitionBy("target_name").orderBy("checked_at")
+    w = Window.partitionBy("target_name").orderBy("checked_at", "status")
     return rows.withColumn("previous_status", F.lag("status").over(w)).filter(
         F.col("previous_status").isNotNull() & (F.col("status") != F.col("previous_status")))
 

@@ -99,14 +99,24 @@ def outcomes(videos: DataFrame, existing: DataFrame, transcripts: DataFrame, ref
     ).drop("known", "refused")
 
 
-def ingest_totals(done: DataFrame) -> DataFrame:
+def ingest_totals(done: DataFrame, channels: DataFrame | None = None) -> DataFrame:
+    """One row of counts. ``channels`` (``channel_id, resolved``) lists all that were asked for.
+
+    With it a resolved channel without uploads counts as a channel, and one that could not
+    be resolved as failed; without it only channels with a video are known.
+    """
     def having(outcome: str):
         return F.count_if(F.col("outcome") == outcome)
 
-    return done.agg(
+    totals = done.agg(
         having("success").alias("success"), having("metadata_only").alias("metadata_only"),
         having("skipped").alias("skipped"), having("failed").alias("failed"),
         F.countDistinct("channel_id").alias("channels"), F.count(F.lit(1)).alias("videos"))
+    if channels is None:
+        return totals
+    resolved = channels.agg(F.count_if("resolved")).scalar()
+    lost = channels.agg(F.count_if(~F.coalesce("resolved", F.lit(False)))).scalar()
+    return totals.withColumns({"failed": F.col("failed") + lost, "channels": resolved})
 
 
 def transcript_rows(done: DataFrame) -> DataFrame:
