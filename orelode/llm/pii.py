@@ -174,16 +174,26 @@ def ssn(value: Column, key: str) -> Column:
 
 
 def plan_phone(value: Column, key: str) -> Column:
-    """A number of the North American plan: area and exchange begin with 2 to 9; the country code stays."""
+    """A number written as in the North American plan; the country code stays.
 
-    def changed(d: Column) -> Column:
+    Numbers that can be dialled, with area and exchange from 200, are permuted among
+    themselves. Others are written like a person's number all the same, and are permuted
+    among those with an area below 200, or with only an exchange below.
+    """
+
+    def moved(d: Column, area: tuple[int, int], exchange: tuple[int, int]) -> Column:
         last = F.right(d, F.lit(10))
-        area, exchange = F.left(last, F.lit(3)).cast("long"), F.substring(last, 4, 3).cast("long")
-        moved = permute(area - 200, (exchange - 200) * 10_000 + F.right(last, F.lit(4)).cast("long"),
-                        (F.lit(800), F.lit(8_000_000)), "phone", key)
-        number = let(moved, lambda at: F.format_string("%03d%07d", at["x"] + 200, at["y"] + 2_000_000))
-        valid = (area >= 200) & (exchange >= 200)
-        return F.when(valid, refill(value, F.concat(F.left(d, F.length(d) - 10), number))).otherwise(value)
+        x = F.left(last, F.lit(3)).cast("long") - area[0]
+        y = F.right(last, F.lit(7)).cast("long") - exchange[0] * 10_000
+        sides = (F.lit(area[1] - area[0]), F.lit((exchange[1] - exchange[0]) * 10_000))
+        number = let(permute(x, y, sides, "phone", key), lambda at: F.format_string(
+            "%03d%07d", at["x"] + area[0], at["y"] + exchange[0] * 10_000))
+        return refill(value, F.concat(F.left(d, F.length(d) - 10), number))
+
+    def changed(d: Column) -> Column:
+        area, exchange = F.substr(d, F.length(d) - 9, F.lit(3)).cast("int"), F.substr(d, F.length(d) - 6, F.lit(3)).cast("int")
+        return F.when(area < 200, moved(d, (0, 200), (0, 1000))).when(
+            exchange < 200, moved(d, (200, 1000), (0, 200))).otherwise(moved(d, (200, 1000), (200, 1000)))
 
     return let(digits_of(value), changed)
 

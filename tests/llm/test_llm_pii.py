@@ -1,7 +1,6 @@
 import datetime
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from orelode.llm import pii, queries
@@ -43,6 +42,7 @@ CASES = [
     ("DE89370400440532013000", lambda x: mod97(x) == 1),
     ("123-45-6789", lambda x: x[:3] not in ("000", "666") and x[:3] < "900" and x[4:6] > "00" and x[7:] > "0000"),
     ("+1 (743) 555-3824", lambda x: x[4] > "1" and x[9] > "1" and x.startswith("+1 (")), ("743-555-3824", lambda x: x[0] > "1"),
+    ("+1 (143) 555-3824", lambda x: x[4] < "2"), ("743-155-3824", lambda x: x[0] > "1" and x[4] < "2"),
     ("+49 30 12345678", lambda x: x.startswith("+49 ")), ("152.143.123.131", lambda x: all(int(p) < 256 for p in x.split("."))),
     ("1984-02-29", lambda x: datetime.date.fromisoformat(x)), ("31.12.2001", lambda x: datetime.datetime.strptime(x, "%d.%m.%Y")),
     ("12/31/2001", lambda x: datetime.datetime.strptime(x, "%m/%d/%Y")), ("3/4/1999", lambda x: datetime.datetime.strptime(x, "%d/%m/%Y"))]
@@ -67,11 +67,10 @@ def test_equal_values_stay_linked(spark):
     assert changed(spark, ["4111 1111 1111 1111"])[0].replace(" ", "") == changed(spark, ["4111111111111111"])[0]
 
 
-@pytest.mark.parametrize("text", [
-    "4111111111111112", "1984-02-30", "666-12-1234", "000-11-1111", "999.1.1.1", "DE89370400440532013001", "v1.2.3", "page 12 of 2001",
-    "12345678901234567890123", "+1 (143) 555-3824", "a@b", "13/13/2001", "1899-12-31", "2100-01-01", "", "no digits here"])
-def test_other_text_is_left(spark, text):
-    assert changed(spark, [text]) == [text]
+def test_other_text_is_left(spark):
+    texts = ["4111111111111112", "1984-02-30", "666-12-1234", "000-11-1111", "999.1.1.1", "DE89370400440532013001", "v1.2.3",
+             "page 12 of 2001", "12345678901234567890123", "a@b", "13/13/2001", "1899-12-31", "2100-01-01", "", "no digits here"]
+    assert changed(spark, texts) == texts
 
 
 def test_everything_around_is_kept(spark, sf):
