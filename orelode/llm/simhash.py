@@ -114,7 +114,11 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def components(rows: DataFrame) -> DataFrame:
-    """(fp, component_id, root) of each distinct fingerprint of ``rows`` (doc_id, fp)."""
+    """(fp, component_id, root) of each distinct fingerprint of ``rows`` (doc_id, fp), as a written table.
+
+    Written, so that a join with it has nothing but its own shuffle on this side, and Spark
+    can split the rows of a fingerprint that a large part of all documents share.
+    """
     prints = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     forest = star_forest(links(prints.select("fp")))
     linked = forest.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(
@@ -122,8 +126,9 @@ def components(rows: DataFrame) -> DataFrame:
     linked = linked.join(prints, "fp")
     lowest = linked.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("lowest"))
     linked = linked.join(lowest, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "lowest")
-    return prints.join(linked, F.col("fp") == F.col("f"), "left").select(
+    named = prints.join(linked, F.col("fp") == F.col("f"), "left").select(
         "fp", F.coalesce("lowest", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return settle(named, "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
