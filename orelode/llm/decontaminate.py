@@ -30,14 +30,14 @@ from orelode.llm.shared import BLOCKS, emitted, settle, summed
 
 #: Hashed features, and the dimensions of the latent space.
 FEATURES = 8192
-RANK = 96
+RANK = 88
 #: Words of a passage, and of the step by which windows move.
 PASSAGE = 64
-STEP = 8
+STEP = 10
 #: Share of all passages from which a feature is too frequent to tell them apart.
 FREQUENT = 0.1
 #: Cosine from which a window and an item are compared word by word.
-NEAR = 0.45
+NEAR = 0.35
 #: Share of an item's words in the common subsequence that makes a leak, and one that does with the whole answer.
 VERBATIM = 0.7
 PARAPHRASE = 0.5
@@ -94,7 +94,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
     passages = 0
     for batch in batches:
         for data in batch.column("words"):
-            feature = np.frombuffer(data.as_buffer(), "<u4") % FEATURES
+            feature = np.frombuffer(data.as_buffer(), "<u4") & FEATURES - 1
             for at in range(0, len(feature), AT_ONCE):
                 part = feature[at:at + AT_ONCE]
                 held.append(part)
@@ -245,6 +245,10 @@ class Search:
 
     space: np.ndarray
     classes: list[Class]
+    weighs: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        self.weighs = np.any(self.space, axis=1)
 
     def find(self, texts: list[np.ndarray]) -> list[list[tuple]]:
         """For each text: (item_id, words, common, cosine, place) of the best window of each item that leaks."""
@@ -262,8 +266,8 @@ class Search:
 
     def _sums(self, feature: np.ndarray, owner: np.ndarray, steps: int) -> np.ndarray:
         """Running sums of the coordinates of all words before each step."""
-        total = np.zeros((steps + 1, RANK))
-        keep = np.flatnonzero(np.any(self.space, axis=1)[feature])
+        total = np.zeros((steps + 1, RANK), np.float32)
+        keep = np.flatnonzero(self.weighs[feature])
         for at in range(0, len(keep), AT_ONCE):
             part = keep[at:at + AT_ONCE]
             first = runs(owner[part])
@@ -272,7 +276,7 @@ class Search:
 
     def _search(self, group: list[int], texts: list[np.ndarray], out: list[list[tuple]]) -> None:
         words = np.concatenate(texts)
-        feature = np.append(words % FEATURES, FEATURES)
+        feature = np.append((words & FEATURES - 1).astype(np.uint16), np.uint16(FEATURES))
         size = np.array([len(w) for w in texts])
         steps = -(-size // STEP)
         text = np.repeat(np.arange(len(texts)), steps)  # of each step, like the next three
@@ -286,7 +290,8 @@ class Search:
             reach = np.arange(kind.wide * STEP)
             for at in range(0, len(text), WINDOWS):
                 here = np.arange(at, min(at + WINDOWS, len(text)))
-                window = (total[np.minimum(here + kind.wide, last[here])] - total[here]).astype(np.float32)
+                window = np.take(total, np.minimum(here + kind.wide, last[here]), axis=0)
+                window -= total[at:at + len(here)]
                 norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)[:, None]
                 cosine = window @ kind.matrix
                 near = cosine >= NEAR * norm
