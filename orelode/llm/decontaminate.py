@@ -15,7 +15,6 @@ driver has a fixed size; the benchmark is searched in blocks of a fixed number o
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,9 +48,11 @@ AT_ONCE = 1 << 16
 WINDOWS = 4096
 PAIRS = 20_000
 SEED = 5
-#: Words whose hash a worker remembers before it starts afresh; only time depends on it.
-REMEMBERED = 400_000
+#: Bytes of text hashed at once.
+BYTES_AT_ONCE = 1 << 21
 
+_POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 _SENTENCE = re.compile(r"[.!?:\n]+")
 
 
@@ -60,21 +61,37 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(WORDS).split()
 
 
-class Hashed(dict):
-    """The 32-bit hash of each word; a word's feature is the remainder of its hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = value = zlib.crc32(word)
-        return value
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
-        return np.fromiter(map(self.__getitem__, words), np.uint32, len(words))
-
-
-_HASHED = Hashed()
+def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a line of words begins, and its 32-bit hash: a mixed polynomial of its bytes."""
+    raw = np.frombuffer(data, np.uint8)
+    inside = raw != 32
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, length = edge[::2], np.diff(edge)[::2]
+    if not len(start):
+        return start, np.zeros(0, np.uint32)
+    first = np.cumsum(length) - length
+    place = np.arange(length.sum(), dtype=np.int32) - np.repeat(first.astype(np.int32), length)
+    value = np.add.reduceat(_POWERS[place & len(_POWERS) - 1] * raw[inside], first)
+    value = (value ^ value >> np.uint64(29)) * _MIX
+    return start, (value >> np.uint64(32)).astype(np.uint32)
+
+
+def hashed(texts: list[str | None]) -> list[np.ndarray]:
+    """The hashes of the words of each text, in order; a word's feature is the remainder of its hash."""
+    lines = [(x or "").encode("utf-8", "surrogatepass").translate(WORDS) for x in texts]
+    data = b" ".join(lines)
+    starts, hashes, at = [], [], 0
+    while at < len(data):  # bounds the memory of very long texts
+        end = data.find(b" ", at + BYTES_AT_ONCE)
+        end = len(data) if end < 0 else end
+        start, value = hash_words(data[at:end])
+        starts.append(start + at)
+        hashes.append(value)
+        at = end
+    start = np.concatenate([np.zeros(0, np.int64), *starts])
+    value = np.concatenate([np.zeros(0, np.uint32), *hashes])
+    ends = np.cumsum([len(x) + 1 for x in lines])
+    return np.split(value, np.searchsorted(start, ends[:-1])) if len(lines) else []
 
 
 def word_hashes(text: Column) -> Column:
@@ -82,7 +99,7 @@ def word_hashes(text: Column) -> Column:
 
     def hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([_HASHED.of(x.as_py()).astype("<u4").tobytes() for x in batch], pa.binary())
+            yield pa.array([x.astype("<u4").tobytes() for x in hashed(batch.to_pylist())], pa.binary())
 
     return F.arrow_udf(hashes, "binary")(text)
 
@@ -149,7 +166,7 @@ def _sketch(weight: np.ndarray):
     return rows
 
 
-def latent_space(hashed: DataFrame, known: np.ndarray) -> np.ndarray:
+def latent_space(words: DataFrame, known: np.ndarray) -> np.ndarray:
     """By feature: its weighted coordinates in the latent space, each divided by its singular value.
 
     ``known`` has the features that count. The decomposition takes one pass over the passages:
@@ -157,7 +174,7 @@ def latent_space(hashed: DataFrame, known: np.ndarray) -> np.ndarray:
     (M R) (R' M R)^-1 (M R)'. Dividing by the singular values makes all latent directions
     count alike, so that passages are not close merely because their language is the same.
     """
-    rows = hashed.select("words")
+    rows = words.select("words")
     found = summed(rows.mapInArrow(_frequencies, BLOCKS), FEATURES + 1)
     frequency, passages = (found[0, :-1], found[0, -1]) if len(found) else (np.zeros(FEATURES), 0.0)
     weight = np.where(known & (frequency <= FREQUENT * passages), np.log((passages + 1) / (frequency + 1)), 0.0)
@@ -191,8 +208,9 @@ class Item:
 
 
 def item_of(item_id: int | None, text: str | None) -> Item:
-    sentences = [w for s in _SENTENCE.split(text or "") if len(w := _HASHED.of(s))]
-    return Item(item_id, _HASHED.of(text), sentences[-1] if sentences else np.zeros(0, np.uint32))
+    words, *sentences = hashed([text, *_SENTENCE.split(text or "")])
+    sentences = [w for w in sentences if len(w)]
+    return Item(item_id, words, sentences[-1] if sentences else np.zeros(0, np.uint32))
 
 
 def common(masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -360,8 +378,8 @@ def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep:
     there are no leaks.
     """
     keep = docs.columns if keep is None else keep
-    hashed = settle(docs.select(*keep, word_hashes(F.col(text_col)).alias("__words")), "words")
-    rows = hashed.select(F.col("__words").alias("words"))
+    words = settle(docs.select(*keep, word_hashes(F.col(text_col)).alias("__words")), "words")
+    rows = words.select(F.col("__words").alias("words"))
     found = []
     for items in items_in_blocks(benchmark):
         known = np.zeros(FEATURES, bool)
@@ -369,7 +387,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep:
             known[item.words % FEATURES] = True
         found.append(leaks_of(F.col("__words"), search_for(items, latent_space(rows, known))))
     leaks = F.concat(*found) if found else F.array().cast(LEAKS)
-    return hashed.select(*keep, leaks.alias("__leaks"))
+    return words.select(*keep, leaks.alias("__leaks"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ END = 1
 LARGEST = 2048
 
 #: Words whose ids a worker remembers before it starts afresh; only time depends on it.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 
 # The pattern that splits text before the merges, and the characters it counts as space.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
