@@ -49,7 +49,7 @@ WINDOWS = 4096
 PAIRS = 20_000
 SEED = 5
 #: Bytes of text hashed at once.
-BYTES_AT_ONCE = 1 << 21
+BYTES_AT_ONCE = 1 << 19
 
 _POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)

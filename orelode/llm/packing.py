@@ -12,7 +12,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from itertools import chain
 
 import numpy as np
@@ -52,7 +52,7 @@ class Ids:
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             vocabulary = json.load(file)
         self.special = [x["content"] for x in vocabulary["added_tokens"]]
@@ -64,6 +64,11 @@ class Ids:
         self.begins[[v for k, v in ranks.items() if k[:1] == b" "]] = True
         self.words: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """Loaded where it is first needed, as few workers meet a special token."""
+        return Tokenizer.from_file(self.path)
+
     def merged(self, text: str) -> bytes:
         return self.merge.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 

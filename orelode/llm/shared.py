@@ -16,7 +16,7 @@ import orelode
 from orelode.session import work_folder
 
 #: Texts that go to a Python worker at once; bounds its memory whatever the length of the table.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 #: Applications whose executors have been given the package.
 _SHIPPED: set[str] = set()
