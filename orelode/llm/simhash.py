@@ -36,14 +36,21 @@ CODE_BITS = 31
 CROWD = 64
 
 
-def fingerprint(text: str | None) -> int:
-    """64-bit SimHash of the 3-word shingles of a text, repeats included; no words: 0."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The hashes of all shingles of ``width`` words of a text, repeats included; fewer words are one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE \
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width \
         else [b" ".join(words)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+
+
+def fingerprint(text: str | None) -> int:
+    """64-bit SimHash of the 3-word shingles of a text, repeats included; no words: 0."""
+    hashes = shingle_hashes(text, SHINGLE)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):  # bounds the memory of very long texts
         part = hashes[at:at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
