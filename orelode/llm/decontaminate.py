@@ -3,10 +3,13 @@
 Texts are cut into passages whose words are hashed to features and weighted by inverse
 passage frequency; very frequent features, and those of no benchmark item, weigh nothing.
 A randomised singular value decomposition of all passages gives a latent space; every
-partition adds its share of the sketch. Every window of a text is compared in this space
-with every benchmark item of its length by cosine, and a close pair is decided on the
-words themselves: by their longest common subsequence, and for paraphrases by the answer,
-the item's last sentence.
+partition adds its share of the sketch. Every window of a text meets every benchmark item
+of its length. The number of its words that the item has, and then the number that both
+have as often, bound their longest common subsequence from above, so pairs below what a
+leak needs are left with no loss. The others are decided on the words themselves: by
+their longest common subsequence, and for paraphrases by the answer, the item's last
+sentence. The cosine in the latent space says how close a leak is, and of windows with as
+many common words the closest is reported; it leaves out nothing.
 
 Passages, frequencies and windows cover whole texts and all documents. What goes to the
 driver has a fixed size; the benchmark is searched in blocks of a fixed number of items.
@@ -29,14 +32,12 @@ from orelode.llm.shared import BLOCKS, emitted, settle, summed
 
 #: Hashed features, and the dimensions of the latent space.
 FEATURES = 8192
-RANK = 88
+RANK = 96
 #: Words of a passage, and of the step by which windows move.
 PASSAGE = 64
-STEP = 10
+STEP = 8
 #: Share of all passages from which a feature is too frequent to tell them apart.
 FREQUENT = 0.1
-#: Cosine from which a window and an item are compared word by word.
-NEAR = 0.35
 #: Share of an item's words in the common subsequence that makes a leak, and one that does with the whole answer.
 VERBATIM = 0.7
 PARAPHRASE = 0.5
@@ -47,6 +48,8 @@ ITEMS = 2000
 AT_ONCE = 1 << 16
 WINDOWS = 4096
 PAIRS = 20_000
+#: Words times items counted at once.
+COUNTS = 1 << 22
 SEED = 5
 #: Bytes of text hashed at once.
 BYTES_AT_ONCE = 1 << 19
@@ -250,23 +253,39 @@ class Class:
         vectors = np.array([space[x.words % FEATURES].sum(axis=0) for x in items])
         size = np.linalg.norm(vectors, axis=1, keepdims=True)
         self.matrix = np.ascontiguousarray((vectors / np.maximum(size, 1e-12)).T, np.float32)
-        self.weightless = np.flatnonzero(size[:, 0] < 1e-12)
         self.needed = np.array([x.needed for x in items])
-        self.has = np.zeros((len(items), FEATURES + 1), bool)  # the last stands for no word
+        self.times = np.zeros((len(items), FEATURES + 1), np.int32)  # the last feature stands for no word
         for k, x in enumerate(items):
-            self.has[k, x.words % FEATURES] = True
+            np.add.at(self.times[k], x.words % FEATURES, 1)
+        self.has = np.ascontiguousarray((self.times > 0).T, np.uint8)
+
+    def counts(self, feature: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Running sums, before each step, of the words that each item has; ``start`` has the first word of each step."""
+        total = np.zeros((len(start) + 1, len(self.items)), np.int32)
+        many = max(1, COUNTS // (STEP * len(self.items)))
+        for at in range(0, len(start), many):
+            first = start[at:at + many]
+            end = start[at + many] if at + many < len(start) else len(feature)
+            total[at + 1:at + 1 + len(first)] = np.add.reduceat(
+                np.take(self.has, feature[first[0]:end], axis=0), first - first[0], axis=0)
+        return np.cumsum(total, axis=0, out=total)
+
+    def enough(self, feature: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which windows, a row of features each, have enough words in common with their item, counting repeats of both."""
+        feature = np.sort(feature, axis=1)
+        place = np.arange(feature.shape[1])
+        begins = np.zeros(feature.shape, np.int64)
+        begins[:, 1:] = np.where(feature[:, 1:] != feature[:, :-1], place[1:], 0)
+        repeat = place - np.maximum.accumulate(begins, axis=1)
+        return (self.times[item[:, None], feature] > repeat).sum(axis=1) >= self.needed[item]
 
 
 @dataclass
 class Search:
-    """A block of benchmark items. Those without a word that weighs anything are near every window."""
+    """A block of benchmark items."""
 
     space: np.ndarray
     classes: list[Class]
-    weighs: np.ndarray = field(init=False)
-
-    def __post_init__(self):
-        self.weighs = np.any(self.space, axis=1)
 
     def find(self, texts: list[np.ndarray]) -> list[list[tuple]]:
         """For each text: (item_id, words, common, cosine, place) of the best window of each item that leaks."""
@@ -282,16 +301,6 @@ class Search:
                 group, size = [], 0
         return out
 
-    def _sums(self, feature: np.ndarray, owner: np.ndarray, steps: int) -> np.ndarray:
-        """Running sums of the coordinates of all words before each step."""
-        total = np.zeros((steps + 1, RANK), np.float32)
-        keep = np.flatnonzero(self.weighs[feature])
-        for at in range(0, len(keep), AT_ONCE):
-            part = keep[at:at + AT_ONCE]
-            first = runs(owner[part])
-            total[owner[part][first] + 1] += np.add.reduceat(np.take(self.space, feature[part], axis=0), first, axis=0)
-        return np.cumsum(total, axis=0, out=total)
-
     def _search(self, group: list[int], texts: list[np.ndarray], out: list[list[tuple]]) -> None:
         words = np.concatenate(texts)
         feature = np.append((words & FEATURES - 1).astype(np.uint16), np.uint16(FEATURES))
@@ -301,33 +310,31 @@ class Search:
         last = np.repeat(np.cumsum(steps), steps)
         start = (np.arange(len(text)) - (last - np.repeat(steps, steps))) * STEP + np.repeat(np.cumsum(size) - size, steps)
         end = np.repeat(np.cumsum(size), steps)
-        owner = np.repeat(np.arange(len(text)), np.minimum(STEP, end - start))
-        total = self._sums(feature[:-1], owner, len(text))
         best: dict[tuple[int, int], tuple] = {}
         for kind in self.classes:
             reach = np.arange(kind.wide * STEP)
             for at in range(0, len(text), WINDOWS):
                 here = np.arange(at, min(at + WINDOWS, len(text)))
-                window = np.take(total, np.minimum(here + kind.wide, last[here]), axis=0)
-                window -= total[at:at + len(here)]
-                norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)[:, None]
-                cosine = window @ kind.matrix
-                near = cosine >= NEAR * norm
-                near[:, kind.weightless] = True
-                rows, items = np.divmod(np.flatnonzero(near), len(kind.items))
+                stop = min(at + len(here) + kind.wide, len(text))
+                upto = start[stop] if stop < len(text) else len(words)
+                total = kind.counts(feature[start[at]:upto], start[at:stop] - start[at])
+                window = np.take(total, np.minimum(here + kind.wide, last[here]) - at, axis=0) - total[:len(here)]
+                rows, items = np.divmod(np.flatnonzero(window >= kind.needed), len(kind.items))
                 for k in range(0, len(rows), PAIRS):
                     i, j = rows[k:k + PAIRS], items[k:k + PAIRS]
                     word = start[at + i][:, None] + reach
                     word = np.where(word < end[at + i][:, None], word, len(words))
-                    enough = kind.has[j[:, None], feature[word]].sum(axis=1) >= kind.needed[j]
+                    enough = kind.enough(feature[word], j)
                     for a, b in zip(i[enough].tolist(), j[enough].tolist(), strict=True):
                         low = start[at + a]
-                        own = words[low:min(low + len(reach), end[at + a])].tolist()
-                        if found := leaked(kind.items[b], own):
+                        high = min(low + len(reach), end[at + a])
+                        if found := leaked(kind.items[b], words[low:high].tolist()):
+                            vector = self.space[feature[low:high]].sum(axis=0)
+                            cosine = float(vector @ kind.matrix[:, b]) / max(float(np.linalg.norm(vector)), 1e-9)
                             owned = int(text[at + a])
                             key = (owned, id(kind.items[b]))
                             place = int(low - (end[at + a] - size[owned]))
-                            row = (found, float(cosine[a, b] / norm[a, 0]), -place, kind.items[b])
+                            row = (found, cosine, -place, kind.items[b])
                             if key not in best or row[:3] > best[key][:3]:
                                 best[key] = row
         for (owned, _), (found, cosine, place, item) in best.items():

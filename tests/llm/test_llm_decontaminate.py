@@ -93,3 +93,40 @@ def test_awkward_rows(spark, awkward, no_docs):
     assert decontaminate.leaks(no_docs, items).count() == 0
     assert decontaminate.leaks(awkward, items.where("false")).count() == 0
     assert decontaminate.clean(awkward, items.where("false")).count() == awkward.count()
+
+
+def weak_leaks(seed, items, each):
+    """Texts with an item planted as weakly as the rules allow: 70% of its words, or half of them and the answer."""
+    draw = random.Random(seed)
+    for i, text in items:
+        words, answer = text.split(), text.rstrip(".").rsplit(". ", 1)[1].split()
+        n, body = len(words), len(words) - len(answer)
+        for _ in range(each):
+            seven = sorted(draw.sample(range(n), -(-7 * n // 10)))
+            half = sorted(draw.sample(range(body), max(0, -(-n // 2) - len(answer))))
+            for passage in ([words[k] for k in seven], [words[k] if k in seven else prose(draw, 1) for k in range(n)],
+                            [*(words[k] for k in half), *answer]):
+                around = prose(draw, draw.randrange(60, 250)).split()
+                at = draw.randrange(len(around))
+                yield i, " ".join(around[:at] + passage + around[at:])
+
+
+def test_recall_at_the_limits_of_the_rules(spark):
+    """All leaks that a search of every window finds, and all planted ones at 70% of the words and half plus answer."""
+    draw = random.Random(21)
+    items = [(i, prose(draw, draw.randrange(12, 40)) + ". " + prose(draw, draw.randrange(3, 9)) + ".") for i in range(30)]
+    planted = list(weak_leaks(4, items, 4))
+    docs = spark.createDataFrame([(d, t) for d, (_, t) in enumerate(planted)], "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.item_id): r.common_words for r in decontaminate.leaks(
+        docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(d, i) for d, (i, _) in enumerate(planted)} <= set(got)
+    made = [decontaminate.item_of(*x) for x in items]
+    want = {}
+    for d, words in enumerate(decontaminate.hashed([t for _, t in planted])):
+        words = words.tolist()
+        for item in made:
+            wide = decontaminate.steps_for(len(item.words)) * decontaminate.STEP
+            best = max(decontaminate.leaked(item, words[s:s + wide]) for s in range(0, len(words), decontaminate.STEP))
+            if best:
+                want[d, item.item_id] = best
+    assert got == want
