@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import zip_longest
 
 import ahocorasick
 import pyarrow as pa
@@ -58,7 +59,8 @@ FREEDOM = {
 WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
-_TAG_LINE = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.IGNORECASE)
+_TAG_PLACE = re.compile(r"spdx-license-identifier\s*:[ \t]*", re.IGNORECASE)
+_LINE_END = re.compile(r"[\r\n]")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -148,6 +150,15 @@ def evaluate(rpn: list[str]) -> tuple[set[str], float | None]:
     return values[-1] if values else (set(), None)
 
 
+def expressions(text: str) -> Iterator[str]:
+    """What follows each identifier tag, up to the next tag or the end of the line."""
+    tags = list(_TAG_PLACE.finditer(text))
+    for tag, following in zip_longest(tags, tags[1:]):
+        limit = following.start() if following else len(text)
+        end = _LINE_END.search(text, tag.end(), limit)
+        yield text[tag.end():end.start() if end else limit]
+
+
 @cache
 def automaton() -> ahocorasick.Automaton:
     """All phrases, as words between spaces, so that a phrase ends only where a word ends."""
@@ -179,7 +190,7 @@ def scan(text: str | None) -> tuple:
             labels.add(BASE.get(phrase) or NOTICES[phrase])
     worth += [freedom(x) for x in labels]
     if tagged:
-        for expression in _TAG_LINE.findall(text):
+        for expression in expressions(text):
             named, value = evaluate(parse(expression))
             labels |= named
             worth += [] if value is None else [value]

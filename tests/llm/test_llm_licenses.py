@@ -66,3 +66,13 @@ def test_awkward_rows(awkward, no_docs):
     assert [r.labels for r in rows if r.doc_id == 1] == ["mit", "mit"]
     assert all((r.n_words, r.labels, r.first_word) == (0, "", None) for r in rows if r.doc_id in (2, 3, 4))
     assert licenses.license_scan(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("text, labels, score", [
+    ("SPDX-License-Identifier: MIT x = 1; SPDX-License-Identifier: GPL-3.0-only", "gpl-3,mit", 0.4),
+    ("SPDX-License-Identifier: MIT OR spdx-license-identifier:Apache-2.0 AND SPDX-License-Identifier: CC-BY-NC-4.0",
+     "apache-2,cc-by-nc,mit", 0.2),
+    ("SPDX-License-Identifier: (MIT SPDX-License-Identifier: \nGPL-2.0 SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause,mit", 1.0),
+    (" ".join(["SPDX-License-Identifier: MIT"] * 500 + ["SPDX-License-Identifier: LGPL-3.0"]), "lgpl-3,mit", 0.6)])
+def test_every_tag_of_a_line_counts(text, labels, score):
+    assert licenses.scan(text)[5:] == (labels, score)
