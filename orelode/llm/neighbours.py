@@ -184,16 +184,22 @@ def _rank(top: int):
         if len(queries) and len(rows):
             x = np.stack(rows["vector"].to_numpy()).astype(np.float64)
             own = rows["ids"].to_numpy()
-            keep = min(len(x), top + 5)
+            repeats = np.unique(np.concatenate(own), return_counts=True)
+            repeats = repeats[1][np.isin(repeats[0], queries["query_id"].to_numpy())].max(initial=0)
+            keep = min(len(x), top + repeats)  # vectors with the id of the query may be among them
+            length = np.linalg.norm(x, axis=1).max()
             for at in range(0, len(queries), QUERIES_AT_ONCE):
                 part = queries.iloc[at:at + QUERIES_AT_ONCE]
                 q = np.stack(part["vector"].to_numpy()).astype(np.float64)
                 near = q @ x.T
-                best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
+                # products that tie may differ by rounding here, so all within the margin are ranked exactly
+                margin = 4 * x.shape[1] * np.finfo(np.float64).eps * length * np.linalg.norm(q, axis=1)
+                least = np.partition(near, len(x) - keep, axis=1)[:, len(x) - keep] - margin
                 for k, (i, j, v) in enumerate(zip(part["query_id"], part["query_key"], q, strict=True)):
-                    score = (x[best[k]] * v).sum(axis=1)
-                    ids = np.concatenate([own[b] for b in best[k]])
-                    score = np.repeat(score, [len(own[b]) for b in best[k]])
+                    best = np.flatnonzero(near[k] >= least[k])
+                    score = (x[best] * v).sum(axis=1)
+                    ids = np.concatenate([own[b] for b in best])
+                    score = np.repeat(score, [len(own[b]) for b in best])
                     other = ids != i
                     ids, score = ids[other], score[other]
                     order = np.lexsort((ids, -score))[:top]

@@ -70,3 +70,23 @@ def test_cut_is_balanced():
     x = np.random.default_rng(0).normal(size=(512, 8))
     label = neighbours.cut(x, neighbours.graph(x), 8)
     assert np.bincount(label, minlength=8).max() <= 1.1 * 512 / 8 + 1
+
+
+def test_more_ties_than_a_result_holds(spark):
+    """Distinct vectors that tie at the cut, in blocks with many more rows than a result."""
+    draw = np.random.default_rng(8)
+    vectors = np.unique(draw.integers(0, 2, size=(900, 12)).astype(float), axis=0)
+    vectors = draw.permutation(vectors[vectors.any(axis=1)])
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    assert table(nearest(df, count=4, parts=4)) == exact(rows)
+
+
+def test_many_vectors_with_the_id_of_the_query(spark):
+    """They are no candidates, and do not take the places of those that are."""
+    rows = [(20, [5.0, i / 64]) for i in range(40)] + [(k, [1.0, k / 64]) for k in range(101, 120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    found = {}
+    for r in nearest(df, count=4, parts=4).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert found == {20: set(range(101, 120))}
