@@ -114,7 +114,8 @@ cut AS (
 kept AS (SELECT doc_id, old, list_filter(old, lambda x: NOT list_contains(f, trim(x, ' '))) AS new FROM cut)
 SELECT doc_id, array_to_string(new, chr(10)) AS text, len(old) - len(new) AS dropped FROM kept""")
 def boilerplate_lines(spark, sf):
-    return preparation.without_boilerplate(texts(spark, sf, "documents"), 5)
+    # the SQL counts documents only; the operator's own rule has a share too, and counts texts
+    return preparation.without_boilerplate(texts(spark, sf, "documents"), 5, min_share=0, per_text=False)
 
 
 @query("noise_filter", """SELECT doc_id FROM documents
