@@ -1,4 +1,4 @@
-"""The ten operators on the shared tables, whole and with production parameters, and SQL where it can express them."""
+"""The numbered operators on the shared tables, whole and with production parameters, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm import decontaminate, language, licenses, neighbours, packing, pii, quality, simhash, tokens, warc
+from orelode.llm import (
+    decontaminate, language, licenses, neighbours, packing, pii, quality, simhash, tokens, urlfilter, variants, warc)
 from orelode.llm.shared import prepare, remainder, settle
 
 #: Key of the pseudonyms here; a real run takes it from a secret store.
@@ -105,3 +106,35 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tokens.matrices(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return tokens.segments(settle(rows, "tokens"))
+
+
+@query("op11_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+# The rules (host, path, block) that pages are judged by.
+URL_RULES = [
+    ("com", "/", False), ("example.com", "/en/", True), ("www.example.com", "/en/", False),
+    ("net", "/es/", True), ("net", "/fr/", True),
+]
+
+
+@query("op12_url_filter", """
+    WITH rules(r_host, r_path, kind) AS (
+        VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+               ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+    u AS (
+        SELECT row_number() OVER () AS row, page_id,
+            translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+        FROM pages),
+    fit AS (
+        SELECT row, r_host || r_path AS rule, kind FROM u JOIN rules
+            ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+        QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(r_host || r_path) DESC, length(r_host) DESC) = 1)
+    SELECT page_id, host, path, rule, coalesce(kind, 'allow') AS verdict FROM u LEFT JOIN fit USING (row)""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, block boolean")
+    return urlfilter.judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
