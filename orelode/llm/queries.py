@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orelode.llm import (
-    decontaminate, language, licenses, neighbours, packing, pii, quality, simhash, tokens, urlfilter, variants, warc)
+    decontaminate, language, licenses, neighbours, packing, pii, quality, ranked, simhash, tokens, urlfilter, variants, warc)
 from orelode.llm.shared import prepare, remainder, settle
 
 #: Key of the pseudonyms here; a real run takes it from a secret store.
@@ -138,3 +138,33 @@ URL_RULES = [
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, block boolean")
     return urlfilter.judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+@query("op13_ranked_search", r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (
+        SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    q AS (SELECT item, item_id, unnest(w) AS term FROM b),
+    tf AS (
+        SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+        WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    weighted AS (
+        SELECT q.item, q.item_id, term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+        FROM q JOIN df USING (term), s),
+    impact AS (
+        SELECT row, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)) AS i
+        FROM tf, s),
+    scored AS (
+        SELECT item, item_id, row, doc_id, sum(w * i)::BIGINT AS score FROM weighted JOIN impact USING (term)
+        GROUP BY ALL HAVING score > 0)
+    SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, row)::INTEGER AS rank, doc_id, score
+    FROM scored QUALIFY rank <= 10""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,17 +146,8 @@ class Cascade:
         """The ``keys`` (h, g) that the filter of a level has."""
         out = keys.limit(0)
         for first, last in self.passes():
-            loaded = keys.sparkSession.sparkContext.broadcast(Loaded(self.levels[number:number + 1], first, last))
-
-            def taken(batches: Iterator[tuple[pa.Array, pa.Array]], loaded=loaded) -> Iterator[pa.Array]:
-                for h, g in batches:
-                    h, g = _longs(h), _longs(g)
-                    own = np.flatnonzero(loaded.value.own(h))
-                    yes = np.zeros(len(h), bool)
-                    yes[own] = loaded.value.has(0, h[own], g[own])
-                    yield pa.array(yes)
-
-            out = out.union(keys.where(F.arrow_udf(taken, "boolean")("h", "g")))
+            has = _has(keys.sparkSession.sparkContext.broadcast(Loaded(self.levels[number:number + 1], first, last)))
+            out = out.union(keys.where(has("h", "g")))
         return out
 
     def mark(self, rows: DataFrame, h: str, g: str, out: str) -> DataFrame:
@@ -165,19 +157,38 @@ class Cascade:
         """
         rows = rows.withColumn(out, F.transform(h, lambda x: F.lit(False)))
         for k, (first, last) in enumerate(self.passes() if self.levels else []):
-            loaded = rows.sparkSession.sparkContext.broadcast(Loaded(self.levels, first, last))
-
-            def found(batches: Iterator[tuple[pa.Array, pa.Array]], loaded=loaded) -> Iterator[pa.Array]:
-                for hs, gs in batches:
-                    flat = loaded.value.listed(_longs(hs.flatten()), _longs(gs.flatten()))
-                    size = hs.value_lengths().to_numpy(zero_copy_only=False)
-                    yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(flat))
-
+            listed = _listed(rows.sparkSession.sparkContext.broadcast(Loaded(self.levels, first, last)))
             rows = settle(rows, "pass") if k else rows
-            rows = rows.withColumn(out, F.zip_with(out, F.arrow_udf(found, "array<boolean>")(h, g), lambda a, b: a | b))
+            rows = rows.withColumn(out, F.zip_with(out, listed(h, g), lambda a, b: a | b))
         return rows
 
 
+def _has(loaded: Broadcast):
+    """Which keys the one level of ``loaded`` has."""
+
+    def has(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for h, g in batches:
+            h, g = _longs(h), _longs(g)
+            own = np.flatnonzero(loaded.value.own(h))
+            yes = np.zeros(len(h), bool)
+            yes[own] = loaded.value.has(0, h[own], g[own])
+            yield pa.array(yes)
+
+    return F.arrow_udf(has, "boolean")
+
+
+def _listed(loaded: Broadcast):
+    """Which keys of arrays of keys are listed."""
+
+    def listed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for hs, gs in batches:
+            flat = loaded.value.listed(_longs(hs.flatten()), _longs(gs.flatten()))
+            size = hs.value_lengths().to_numpy(zero_copy_only=False)
+            yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(flat))
+
+    return F.arrow_udf(listed, "array<boolean>")
+
+
 def host_of(url: Column) -> Column:
     """What follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; empty without one."""
     host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
@@ -233,8 +244,8 @@ def judged(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFram
         listed.select("key", "block", (~F.col("block")).alias("allow"))).groupBy("key").agg(
         F.max("block").alias("block"), F.max("allow").alias("allow"))
     universe = settle(every.select(*_hashes(F.col("key")), "block", "allow"), "universe")
-    for h, c in enumerate("hg"):
-        rows = rows.withColumn(f"__{c}", F.transform("__keys", lambda k, h=h: _hashes(k)[h]))
+    rows = rows.withColumns({
+        "__h": F.transform("__keys", lambda k: _hashes(k)[0]), "__g": F.transform("__keys", lambda k: _hashes(k)[1])})
     for side in ("block", "allow"):
         cascade = Cascade.build(universe.select("h", "g", F.col(side).alias("listed")))
         rows = cascade.mark(rows, "__h", "__g", f"__{side}")
