@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+#: Folders made in each open block of ``temporary``, the innermost last.
+_OPEN: list[list[str]] = []
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own settings."""
@@ -24,6 +29,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for written tables and streaming checkpoints, deleted when the application ends.
 
@@ -36,8 +46,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors can reach")
         base = f"{tempfile.gettempdir()}/orelode-{spark.sparkContext.applicationId}"
     folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    system, path = _file_system(spark, folder)
+    system.deleteOnExit(path)
+    if _OPEN:
+        _OPEN[-1].append(folder)
     return folder
 
 
@@ -50,3 +62,34 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     folder = work_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+class _Temporary:
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._folders: list[str] = []
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written so that it outlives the block."""
+        out = settle(df, name)
+        folder = self._folders.pop()
+        if len(_OPEN) > 1:
+            _OPEN[-2].append(folder)
+        return out
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[_Temporary]:
+    """A block whose tables in the shared folder are deleted at its end, but for its ``result``.
+
+    Only written results may leave the block: what is still to be computed from its tables cannot be.
+    """
+    block = _Temporary(spark)
+    _OPEN.append(block._folders)
+    try:
+        yield block
+    finally:
+        _OPEN.pop()
+        for folder in block._folders:
+            system, path = _file_system(spark, folder)
+            system.delete(path, True)
