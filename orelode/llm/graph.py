@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.shared import settle
+from orelode.llm.shared import settle, temporary
 
 
 def _with_smallest(edges: DataFrame) -> DataFrame:
@@ -46,4 +46,5 @@ def star_forest(links: DataFrame) -> DataFrame:
         if state[0] == 0 or state == seen:
             return edges
         seen = state
-        edges = settle(_small_star(_large_star(edges)), "links")
+        with temporary(edges.sparkSession) as block:
+            edges = block.result(_small_star(_large_star(edges)), "links")

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import orelode
-from orelode.session import work_folder
+from orelode.session import settle, temporary
+
+__all__ = ["BLOCKS", "emitted", "prepare", "remainder", "settle", "summed", "temporary"]
 
 #: Texts that go to a Python worker at once; bounds its memory whatever the length of the table.
 BATCH_ROWS = 250
@@ -34,13 +36,6 @@ def prepare(spark: SparkSession) -> None:
         _SHIPPED.add(context.applicationId)
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read back: lineage ends here and lost executors cost nothing."""
-    folder = work_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor

@@ -5,14 +5,15 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from orelode.llm import decontaminate, queries, simhash
+from orelode.llm import decontaminate, queries
+from test_llm_nearcopies import kept_by_brute_force
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert {x.split("_")[0] for x in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {x.split("_")[0] for x in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(names) and set(queries.SQL) <= set(__spark_entry__.oracle_sql())
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language ID", "SimHash near-dedup", "benchmark decontamination", "PII", "packing"]
@@ -41,16 +42,8 @@ def test_stages_against_brute_force(spark, stages):
     assert all(x.columns == COLUMNS for x in stages[:5])
     before, kept = by_id(docs), by_id(spoken)
     assert all(any(c.isalpha() for c in r.text) for r in kept.values()) and len(kept) > 0.95 * len(before)
-    prints = {d: simhash.fingerprint(r.text) for d, r in kept.items()}
-    classes: dict[int, int] = {}
-    for d in sorted(prints):  # by id, so that the smallest of a class comes first; chains are joined by repetition
-        classes[d] = d
-    for _ in range(5):
-        for a in prints:
-            for b in prints:
-                if (prints[a] ^ prints[b]).bit_count() <= 2:
-                    classes[a] = classes[b] = min(classes[a], classes[b])
-    assert set(by_id(single)) == set(classes.values()) and len(by_id(single)) == single.count()
+    want = kept_by_brute_force({d: r.text for d, r in kept.items()})
+    assert set(by_id(single)) == want and len(want) == single.count() < len(kept)
     items = [b" ".join(decontaminate.words_of(r.text)) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
     held = {d for d, r in by_id(single).items() if any(i in b" ".join(decontaminate.words_of(r.text)) for i in items)}
     gone = set(by_id(single)) - set(by_id(clean))
