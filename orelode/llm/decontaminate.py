@@ -2,17 +2,15 @@
 
 Texts are cut into passages whose words are hashed to features and weighted by inverse
 passage frequency; very frequent features, and those of no benchmark item, weigh nothing.
-A randomised singular value decomposition of all passages gives a latent space; every
-partition adds its share of the sketch. Every window of a text meets every benchmark item
-of its length. The number of its words that the item has, and then the number that both
-have as often, bound their longest common subsequence from above, so pairs below what a
-leak needs are left with no loss. The others are decided on the words themselves: by
-their longest common subsequence, and for paraphrases by the answer, the item's last
-sentence. The cosine in the latent space says how close a leak is, and of windows with as
-many common words the closest is reported; it leaves out nothing.
-
-Passages, frequencies and windows cover whole texts and all documents. What goes to the
-driver has a fixed size; the benchmark is searched in blocks of a fixed number of items.
+A randomised singular value decomposition of all passages, with one power iteration, gives a latent
+space; every partition adds its share of the sketches. The windows of a text whose cosine with an
+item of their length is at least ``NEAR`` are its candidates. Candidates are decided exactly: the number of words
+that both have as often bounds their longest common subsequence from above, and what is left is a
+leak by that subsequence itself and, for paraphrases, by the answer, the item's last sentence.
+
+``NEAR`` is far below the cosine of copies: the leaks it loses are counted against a search of every window, which
+``near=EVERY`` is. Passages, frequencies and windows cover whole texts and all documents. What goes to the
+driver has a fixed size; the space is fitted once, and the benchmark is searched in blocks of a fixed number of items.
 """
 
 from __future__ import annotations
@@ -31,8 +29,11 @@ from orelode.llm.licenses import WORDS
 from orelode.llm.shared import BLOCKS, emitted, settle, summed
 
 #: Hashed features, and the dimensions of the latent space.
-FEATURES = 8192
+FEATURES = 1 << 15
 RANK = 96
+#: Least cosine of candidates, and what makes every window one.
+NEAR = 0.1
+EVERY = -2.0
 #: Words of a passage, and of the step by which windows move.
 PASSAGE = 64
 STEP = 8
@@ -44,12 +45,12 @@ PARAPHRASE = 0.5
 #: Items with fewer words must be found whole.
 SHORT = 8
 #: Items searched at once; words, windows and pairs handled at once.
-ITEMS = 2000
+ITEMS = 1000
 AT_ONCE = 1 << 16
-WINDOWS = 4096
-PAIRS = 20_000
-#: Words times items counted at once.
-COUNTS = 1 << 22
+WINDOWS = 2048
+PAIRS = 1 << 20
+#: Parts of a sketch that are summed apart.
+SHARES = 32
 SEED = 5
 #: Bytes of text hashed at once.
 BYTES_AT_ONCE = 1 << 19
@@ -107,35 +108,30 @@ def word_hashes(text: Column) -> Column:
     return F.arrow_udf(hashes, "binary")(text)
 
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Features, the passage of each and the number of passages, some ``AT_ONCE`` words at a time."""
+def _passages(batches: Iterator[pa.RecordBatch], place: np.ndarray, known: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of the known words, the passage of each and the passages' sizes, some ``AT_ONCE`` words at a time."""
     held: list[np.ndarray] = []
     owners: list[np.ndarray] = []
-    passages = 0
+    sizes: list[int] = []
+
+    def out():
+        found, owner = np.concatenate(held), np.concatenate(owners)
+        keep = found < known
+        return found[keep], owner[keep], np.array(sizes)
+
     for batch in batches:
         for data in batch.column("words"):
-            feature = np.frombuffer(data.as_buffer(), "<u4") & FEATURES - 1
-            for at in range(0, len(feature), AT_ONCE):
-                part = feature[at:at + AT_ONCE]
+            words = np.frombuffer(data.as_buffer(), "<u4")
+            for at in range(0, len(words), AT_ONCE):
+                part = place[words[at:at + AT_ONCE] & FEATURES - 1]
                 held.append(part)
-                owners.append(passages + np.arange(len(part)) // PASSAGE)
-                passages += -(-len(part) // PASSAGE)
-                if passages * PASSAGE >= AT_ONCE:
-                    yield np.concatenate(held), np.concatenate(owners), passages
-                    held, owners, passages = [], [], 0
-    if passages:
-        yield np.concatenate(held), np.concatenate(owners), passages
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task: the number of passages with each feature, and of all passages."""
-    acc = np.zeros(FEATURES + 1)
-    for feature, owner, passages in _passages(batches):
-        seen = np.zeros(passages * FEATURES, bool)
-        seen[owner * FEATURES + feature] = True
-        acc[:-1] += np.bincount(np.flatnonzero(seen) % FEATURES, minlength=FEATURES)
-        acc[-1] += passages
-    yield emitted(acc[None], TaskContext.get().partitionId())
+                owners.append(len(sizes) + np.arange(len(part)) // PASSAGE)
+                sizes += [min(PASSAGE, len(part) - k) for k in range(0, len(part), PASSAGE)]
+                if len(sizes) * PASSAGE >= AT_ONCE:
+                    yield out()
+                    held, owners, sizes = [], [], []
+    if sizes:
+        yield out()
 
 
 def runs(owner: np.ndarray) -> np.ndarray:
@@ -143,52 +139,89 @@ def runs(owner: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(owner, prepend=-1))
 
 
-def _sketch(weight: np.ndarray):
-    """Of a task: its share of the product of the passage matrix, transposed, itself and random columns."""
+def _frequencies(place: np.ndarray, known: int):
+    """Of a task: the number of passages with each known feature, and of all passages."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw = np.random.default_rng(SEED)
-        random = (draw.normal(size=(FEATURES, RANK)) * weight[:, None]).astype(np.float32)
-        acc = np.zeros((FEATURES, RANK))
-        for feature, owner, passages in _passages(batches):
-            size = np.bincount(owner, minlength=passages)
-            keep = np.flatnonzero(weight[feature])
+        acc = np.zeros(known + 1)
+        for found, owner, sizes in _passages(batches, place, known):
+            seen = np.zeros(len(sizes) * known, bool)
+            seen[owner * known + found] = True
+            acc[:-1] += seen.reshape(-1, known).sum(axis=0)
+            acc[-1] += len(sizes)
+        yield emitted(acc[None], TaskContext.get().partitionId())
+
+    return rows
+
+
+def _sketch(place: np.ndarray, weight: np.ndarray, right: np.ndarray):
+    """Of a task: its share of the product of the passage matrix, transposed, itself and ``right``."""
+    weighted = (right * weight[:, None]).astype(np.float32)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = np.zeros(weighted.shape)
+        for found, owner, sizes in _passages(batches, place, len(weight)):
+            keep = np.flatnonzero(weight[found])
             if not len(keep):
                 continue
-            feature, owner = feature[keep], owner[keep]
+            found, owner = found[keep], owner[keep]
             first = runs(owner)
-            seen = np.zeros((passages, RANK), np.float32)
-            seen[owner[first]] = np.add.reduceat(np.take(random, feature, axis=0), first, axis=0)
-            seen /= (size * size)[:, None].astype(np.float32)
-            order = np.argsort(feature.astype(np.uint16), kind="stable")
-            feature = feature[order]
-            first = runs(feature.astype(np.int64))
-            acc[feature[first]] += np.add.reduceat(np.take(seen, owner[order], axis=0), first, axis=0)
-        yield emitted((acc * weight[:, None]).reshape(32, -1), TaskContext.get().partitionId())
+            seen = np.zeros((len(sizes), RANK), np.float32)
+            seen[owner[first]] = np.add.reduceat(np.take(weighted, found, axis=0), first, axis=0)
+            seen /= (sizes * sizes)[:, None].astype(np.float32)
+            order = np.argsort(found, kind="stable")
+            found = found[order]
+            first = runs(found)
+            acc[found[first]] += np.add.reduceat(np.take(seen, owner[order], axis=0), first, axis=0)
+        acc = np.pad(acc * weight[:, None], ((0, -len(acc) % SHARES), (0, 0)))
+        yield emitted(acc.reshape(SHARES, -1), TaskContext.get().partitionId())
 
     return rows
 
 
-def latent_space(words: DataFrame, known: np.ndarray) -> np.ndarray:
-    """By feature: its weighted coordinates in the latent space, each divided by its singular value.
+@dataclass
+class Space:
+    """``place`` gives the row of a feature in ``rows``, its coordinates; the last row, all zero, is for features of no item."""
 
-    ``known`` has the features that count. The decomposition takes one pass over the passages:
-    with M the product of their matrix, transposed, and itself, and R random, M is nearly
-    (M R) (R' M R)^-1 (M R)'. Dividing by the singular values makes all latent directions
-    count alike, so that passages are not close merely because their language is the same.
+    place: np.ndarray
+    rows: np.ndarray
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        return self.place[words & FEATURES - 1]
+
+
+def latent_space(words: DataFrame, known: np.ndarray) -> Space:
+    """The weighted coordinates of the ``known`` features, each divided by its singular value.
+
+    The decomposition takes two passes over the passages: with M the product of their matrix, transposed, and
+    itself, and R random, Q spans M R, and M is nearly (M Q) (Q' M Q)^-1 (M Q)'. Dividing by the singular values
+    makes all latent directions count alike, so that passages are not close merely because their language is the same.
     """
+    features = np.flatnonzero(known)
+    many = len(features)
+    place = np.full(FEATURES, many, np.int32)
+    place[features] = range(many)
+    nothing = Space(place, np.zeros((many + 1, RANK), np.float32))
     rows = words.select("words")
-    found = summed(rows.mapInArrow(_frequencies, BLOCKS), FEATURES + 1)
-    frequency, passages = (found[0, :-1], found[0, -1]) if len(found) else (np.zeros(FEATURES), 0.0)
-    weight = np.where(known & (frequency <= FREQUENT * passages), np.log((passages + 1) / (frequency + 1)), 0.0)
-    sketch = summed(rows.mapInArrow(_sketch(weight), BLOCKS), FEATURES * RANK // 32).reshape(-1, RANK)
-    if not np.any(sketch):
-        return np.zeros((FEATURES, RANK), np.float32)
-    random = np.random.default_rng(SEED).normal(size=(FEATURES, RANK))
-    inner = random.T @ sketch
+    found = summed(rows.mapInArrow(_frequencies(place, many), BLOCKS), many + 1) if many else []
+    if not len(found):
+        return nothing
+    frequency, passages = found[0, :-1], found[0, -1]
+    weight = np.where(frequency <= FREQUENT * passages, np.log((passages + 1) / (frequency + 1)), 0.0)
+    right = np.random.default_rng(SEED).normal(size=(many, RANK))
+    for _ in range(2):
+        right, _ = np.linalg.qr(np.pad(right, ((0, max(0, RANK - many)), (0, 0))))
+        right = right[:many]
+        wide = -(-many // SHARES) * RANK
+        sketch = summed(rows.mapInArrow(_sketch(place, weight, right), BLOCKS), wide).reshape(-1, RANK)[:many]
+        if not np.any(sketch):
+            return nothing
+        left, right = right, sketch
+    inner = left.T @ sketch
     inner = (inner + inner.T) / 2 + 1e-9 * np.trace(inner) * np.eye(RANK)
     basis, size, _ = np.linalg.svd(np.linalg.solve(np.linalg.cholesky(inner), sketch.T).T, full_matrices=False)
-    return (basis / np.maximum(size, 0.05 * size[0]) * weight[:, None]).astype(np.float32)
+    basis, size = np.pad(basis, ((0, 1), (0, RANK - basis.shape[1]))), np.pad(size, (0, RANK - len(size)))
+    return Space(place, (basis / np.maximum(size, 0.05 * size[0]) * np.append(weight, 0)[:, None]).astype(np.float32))
 
 
 @dataclass
@@ -248,44 +281,43 @@ def steps_for(words: int) -> int:
 class Class:
     """Items that share the width of their windows."""
 
-    def __init__(self, wide: int, items: list[Item], space: np.ndarray):
+    def __init__(self, wide: int, items: list[Item], space: Space):
         self.wide, self.items = wide, items
-        vectors = np.array([space[x.words % FEATURES].sum(axis=0) for x in items])
+        vectors = np.array([space.rows[space.of(x.words)].sum(axis=0) for x in items])
         size = np.linalg.norm(vectors, axis=1, keepdims=True)
         self.matrix = np.ascontiguousarray((vectors / np.maximum(size, 1e-12)).T, np.float32)
+        # an item whose words all weigh nothing has no direction, so each of its windows is a candidate
+        self.blind = np.flatnonzero(size[:, 0] == 0)
         self.needed = np.array([x.needed for x in items])
-        self.times = np.zeros((len(items), FEATURES + 1), np.int32)  # the last feature stands for no word
+        self.times = np.zeros((len(items), len(space.rows)), np.uint16)  # the last place stands for no word
         for k, x in enumerate(items):
-            np.add.at(self.times[k], x.words % FEATURES, 1)
-        self.has = np.ascontiguousarray((self.times > 0).T, np.uint8)
-
-    def counts(self, feature: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Running sums, before each step, of the words that each item has; ``start`` has the first word of each step."""
-        total = np.zeros((len(start) + 1, len(self.items)), np.int32)
-        many = max(1, COUNTS // (STEP * len(self.items)))
-        for at in range(0, len(start), many):
-            first = start[at:at + many]
-            end = start[at + many] if at + many < len(start) else len(feature)
-            total[at + 1:at + 1 + len(first)] = np.add.reduceat(
-                np.take(self.has, feature[first[0]:end], axis=0), first - first[0], axis=0)
-        return np.cumsum(total, axis=0, out=total)
-
-    def enough(self, feature: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Which windows, a row of features each, have enough words in common with their item, counting repeats of both."""
-        feature = np.sort(feature, axis=1)
-        place = np.arange(feature.shape[1])
-        begins = np.zeros(feature.shape, np.int64)
-        begins[:, 1:] = np.where(feature[:, 1:] != feature[:, :-1], place[1:], 0)
-        repeat = place - np.maximum.accumulate(begins, axis=1)
-        return (self.times[item[:, None], feature] > repeat).sum(axis=1) >= self.needed[item]
+            np.add.at(self.times[k], space.of(x.words), 1)
+
+    def near(self, windows: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
+        """Windows, a row of coordinates each, and items whose cosine is at least ``near``."""
+        size = np.sqrt((windows * windows).sum(axis=1, keepdims=True))
+        close = windows @ self.matrix >= np.where(size > 0, near * size, np.inf if near > 0 else near)
+        close[:, self.blind] = True
+        return np.divmod(np.flatnonzero(close), len(self.items))
+
+    def enough(self, place: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which windows, a row of places each, have enough words in common with their item, counting repeats of both."""
+        out = np.flatnonzero((self.times[item[:, None], place] > 0).sum(axis=1) >= self.needed[item])
+        place, item = np.sort(place[out], axis=1), item[out]
+        at = np.arange(place.shape[1])
+        begins = np.zeros(place.shape, np.int64)
+        begins[:, 1:] = np.where(place[:, 1:] != place[:, :-1], at[1:], 0)
+        repeat = at - np.maximum.accumulate(begins, axis=1)
+        return out[(self.times[item[:, None], place] > repeat).sum(axis=1) >= self.needed[item]]
 
 
 @dataclass
 class Search:
     """A block of benchmark items."""
 
-    space: np.ndarray
+    space: Space
     classes: list[Class]
+    near: float = NEAR
 
     def find(self, texts: list[np.ndarray]) -> list[list[tuple]]:
         """For each text: (item_id, words, common, cosine, place) of the best window of each item that leaks."""
@@ -301,9 +333,19 @@ class Search:
                 group, size = [], 0
         return out
 
+    def _sums(self, place: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Running sums, before each step, of the coordinates of its words; ``start`` has the first word of each step."""
+        total = np.zeros((len(start) + 1, RANK))
+        known = np.flatnonzero(place < len(self.space.rows) - 1)
+        if len(known):
+            step = np.searchsorted(start, known, side="right")
+            first = runs(step)
+            total[step[first]] = np.add.reduceat(np.take(self.space.rows, place[known], axis=0), first, axis=0)
+        return np.cumsum(total, axis=0, out=total)
+
     def _search(self, group: list[int], texts: list[np.ndarray], out: list[list[tuple]]) -> None:
         words = np.concatenate(texts)
-        feature = np.append((words & FEATURES - 1).astype(np.uint16), np.uint16(FEATURES))
+        place = np.append(self.space.of(words), np.int32(len(self.space.rows) - 1))
         size = np.array([len(w) for w in texts])
         steps = -(-size // STEP)
         text = np.repeat(np.arange(len(texts)), steps)  # of each step, like the next three
@@ -311,34 +353,34 @@ class Search:
         start = (np.arange(len(text)) - (last - np.repeat(steps, steps))) * STEP + np.repeat(np.cumsum(size) - size, steps)
         end = np.repeat(np.cumsum(size), steps)
         best: dict[tuple[int, int], tuple] = {}
-        for kind in self.classes:
-            reach = np.arange(kind.wide * STEP)
-            for at in range(0, len(text), WINDOWS):
-                here = np.arange(at, min(at + WINDOWS, len(text)))
-                stop = min(at + len(here) + kind.wide, len(text))
-                upto = start[stop] if stop < len(text) else len(words)
-                total = kind.counts(feature[start[at]:upto], start[at:stop] - start[at])
-                window = np.take(total, np.minimum(here + kind.wide, last[here]) - at, axis=0) - total[:len(here)]
-                rows, items = np.divmod(np.flatnonzero(window >= kind.needed), len(kind.items))
-                for k in range(0, len(rows), PAIRS):
-                    i, j = rows[k:k + PAIRS], items[k:k + PAIRS]
+        widest = max(kind.wide for kind in self.classes)
+        for at in range(0, len(text), WINDOWS):
+            here = np.arange(at, min(at + WINDOWS, len(text)))
+            stop = min(at + len(here) + widest, len(text))
+            upto = start[stop] if stop < len(text) else len(words)
+            total = self._sums(place[start[at]:upto], start[at:stop] - start[at])
+            for kind in self.classes:
+                reach = np.arange(kind.wide * STEP)
+                windows = (np.take(total, np.minimum(here + kind.wide, last[here]) - at, axis=0) - total[:len(here)]).astype(np.float32)
+                rows, items = kind.near(windows, self.near)
+                many = max(1, PAIRS // len(reach))
+                for k in range(0, len(rows), many):
+                    i, j = rows[k:k + many], items[k:k + many]
                     word = start[at + i][:, None] + reach
                     word = np.where(word < end[at + i][:, None], word, len(words))
-                    enough = kind.enough(feature[word], j)
+                    enough = kind.enough(place[word], j)
                     for a, b in zip(i[enough].tolist(), j[enough].tolist(), strict=True):
                         low = start[at + a]
                         high = min(low + len(reach), end[at + a])
                         if found := leaked(kind.items[b], words[low:high].tolist()):
-                            vector = self.space[feature[low:high]].sum(axis=0)
-                            cosine = float(vector @ kind.matrix[:, b]) / max(float(np.linalg.norm(vector)), 1e-9)
+                            cosine = float(windows[a] @ kind.matrix[:, b]) / max(float(np.linalg.norm(windows[a])), 1e-9)
                             owned = int(text[at + a])
                             key = (owned, id(kind.items[b]))
-                            place = int(low - (end[at + a] - size[owned]))
-                            row = (found, cosine, -place, kind.items[b])
+                            row = (found, round(cosine, 6), -int(low - (end[at + a] - size[owned])), kind.items[b])
                             if key not in best or row[:3] > best[key][:3]:
                                 best[key] = row
-        for (owned, _), (found, cosine, place, item) in best.items():
-            out[group[owned]].append((item.item_id, len(item.words), found, cosine, -place))
+        for (owned, _), (found, cosine, first, item) in best.items():
+            out[group[owned]].append((item.item_id, len(item.words), found, cosine, -first))
 
 
 def items_in_blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
@@ -350,11 +392,11 @@ def items_in_blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
         yield [x for x in (item_of(r["item_id"], r["text"]) for r in own) if len(x.words)]
 
 
-def search_for(items: list[Item], space: np.ndarray) -> Search:
+def search_for(items: list[Item], space: Space, near: float = NEAR) -> Search:
     classes: dict[int, list[Item]] = {}
     for item in items:
         classes.setdefault(steps_for(len(item.words)), []).append(item)
-    return Search(space, [Class(wide, own, space) for wide, own in sorted(classes.items())])
+    return Search(space, [Class(wide, own, space) for wide, own in sorted(classes.items())], near)
 
 
 LEAKS = "array<struct<item_id:long,item_words:int,common_words:int,cosine:double,place:int>>"
@@ -362,7 +404,7 @@ LEAKS = "array<struct<item_id:long,item_words:int,common_words:int,cosine:double
 
 def leaks_of(words: Column, search: Search) -> Column:
     """The leaks of a text, given by the hashes of its words; one for each item."""
-    shared = SparkSession.active().sparkContext.broadcast(search)  # ITEMS items and the space, a fixed size
+    shared = SparkSession.active().sparkContext.broadcast(search)  # ITEMS items and the space: bounded
 
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("item_words", pa.int32()), ("common_words", pa.int32()),
@@ -375,39 +417,39 @@ def leaks_of(words: Column, search: Search) -> Column:
     return F.arrow_udf(found, LEAKS)(words)
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None,
+           near: float = NEAR) -> DataFrame:
     """The columns ``keep`` (all) of ``docs`` and ``__leaks``: the benchmark items that each text contains.
 
-    The latent space is fitted on all texts of ``docs``, anew for each block of items; ``benchmark``
+    The latent space is fitted once, on all texts of ``docs`` and the words of all items; ``benchmark``
     has ``item_id`` and ``text``. Words are hashed once and written to the shared folder with the
     kept columns. Null and empty texts have no leaks and items without words are in no text. Rows
     are judged one by one, so null and repeated ids stay as they are; without documents or items
-    there are no leaks.
+    there are no leaks. Of windows that tie the one with the larger cosine and then the first is reported.
     """
     keep = docs.columns if keep is None else keep
     words = settle(docs.select(*keep, word_hashes(F.col(text_col)).alias("__words")), "words")
-    rows = words.select(F.col("__words").alias("words"))
-    found = []
+    known = np.zeros(FEATURES, bool)
     for items in items_in_blocks(benchmark):
-        known = np.zeros(FEATURES, bool)
         for item in items:
-            known[item.words % FEATURES] = True
-        found.append(leaks_of(F.col("__words"), search_for(items, latent_space(rows, known))))
+            known[item.words & FEATURES - 1] = True
+    space = latent_space(words.select(F.col("__words").alias("words")), known)
+    found = [leaks_of(F.col("__words"), search_for(items, space, near)) for items in items_in_blocks(benchmark)]
     leaks = F.concat(*found) if found else F.array().cast(LEAKS)
     return words.select(*keep, leaks.alias("__leaks"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: float = NEAR) -> DataFrame:
     """A row for each contaminated document and item it contains.
 
     Columns: the id, ``item_id``, ``item_words``, ``common_words`` (of the longest common subsequence
     with the best window), ``cosine`` (of that window), ``place`` (its first word in the text, from 0).
     Clean documents have no row. See ``marked`` for nulls; other columns are not read.
     """
-    rows = marked(docs.select(F.col(id_col), F.col(text_col)), benchmark, text_col, [id_col])
+    rows = marked(docs.select(F.col(id_col), F.col(text_col)), benchmark, text_col, [id_col], near)
     return rows.select(id_col, F.explode("__leaks").alias("leak")).select(id_col, "leak.*")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", near: float = NEAR) -> DataFrame:
     """The rows of ``docs``, with all columns, that contain no benchmark item."""
-    return marked(docs, benchmark, text_col).where(F.size("__leaks") == 0).drop("__leaks")
+    return marked(docs, benchmark, text_col, near=near).where(F.size("__leaks") == 0).drop("__leaks")

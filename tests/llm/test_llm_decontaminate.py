@@ -111,22 +111,36 @@ def weak_leaks(seed, items, each):
                 yield i, " ".join(around[:at] + passage + around[at:])
 
 
-def test_recall_at_the_limits_of_the_rules(spark):
-    """All leaks that a search of every window finds, and all planted ones at 70% of the words and half plus answer."""
-    draw = random.Random(21)
-    items = [(i, prose(draw, draw.randrange(12, 40)) + ". " + prose(draw, draw.randrange(3, 9)) + ".") for i in range(30)]
-    planted = list(weak_leaks(4, items, 4))
-    docs = spark.createDataFrame([(d, t) for d, (_, t) in enumerate(planted)], "doc_id long, text string").repartition(4)
-    got = {(r.doc_id, r.item_id): r.common_words for r in decontaminate.leaks(
-        docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert {(d, i) for d, (i, _) in enumerate(planted)} <= set(got)
+def by_brute_force(texts, items):
+    """Common words by (text, item) of a search of every window."""
     made = [decontaminate.item_of(*x) for x in items]
     want = {}
-    for d, words in enumerate(decontaminate.hashed([t for _, t in planted])):
+    for d, words in enumerate(decontaminate.hashed(texts)):
         words = words.tolist()
         for item in made:
             wide = decontaminate.steps_for(len(item.words)) * decontaminate.STEP
             best = max(decontaminate.leaked(item, words[s:s + wide]) for s in range(0, len(words), decontaminate.STEP))
             if best:
                 want[d, item.item_id] = best
-    assert got == want
+    return want
+
+
+def test_recall_at_the_limits_of_the_rules(spark):
+    """Of the leaks that a search of every window finds, planted at 70% of the words and half plus answer, nearly all."""
+    draw = random.Random(21)
+    items = [(i, prose(draw, draw.randrange(12, 40)) + ". " + prose(draw, draw.randrange(3, 9)) + ".") for i in range(30)]
+    planted = list(weak_leaks(4, items, 4))
+    docs = spark.createDataFrame([(d, t) for d, (_, t) in enumerate(planted)], "doc_id long, text string").repartition(4)
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    want = by_brute_force([t for _, t in planted], items)
+    assert {(d, i) for d, (i, _) in enumerate(planted)} <= set(want)
+
+    def found(**how):
+        return {(r.doc_id, r.item_id): r.common_words for r in decontaminate.leaks(docs, asked, **how).collect()}
+
+    assert found(near=decontaminate.EVERY) == want
+    got = found()
+    assert all(want[k] >= n for k, n in got.items())  # nothing is found that the search of every window does not find
+    shares = [sum((d, planted[d][0]) in got for d in range(k, len(planted), 3)) / len(planted) * 3 for k in range(3)]
+    assert min(shares) >= 0.95, shares
+    assert len(got) >= 0.95 * len(want)
