@@ -248,6 +248,13 @@ def table_stats(spark, sf):
     return monitored(spark, sf).select(F.col("table").alias("name"), "row_count", "latest_data_at")
 
 
+@query("file_stats", f"WITH {STATS} SELECT tbl AS name, row_count, {ISO.format('newest')} AS latest_data_at FROM stats WHERE tbl <> 'refunds'")
+def file_stats(spark, sf):
+    times = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
+    parts = [health.file_stats(spark, f"{sf}/{t}.parquet", t, c, "micros") for t, c in times.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(F.col("table").alias("name"), "row_count", "latest_data_at")
+
+
 @query("table_check", f"WITH {TABLE_CHECK} SELECT * FROM checks")
 def table_check(spark, sf):
     return plain(health.classify_table(table_config(spark), monitored(spark, sf), AS_OF))

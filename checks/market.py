@@ -122,25 +122,25 @@ def volatility_corr(spark, sf):
     return market.return_correlation(bars(spark, sf), bars(spark, sf, "metal"))
 
 
-@query("composite_momentum", f"""WITH {BARS}, {ANOMALY}, m AS (SELECT symbol, d, {mom_sql(7)} FROM bars),
+@query("composite_momentum", f"""WITH {BARS}, {ANOMALY}, m AS (SELECT symbol, d, {mom_sql(30)} FROM bars),
 e AS (
   SELECT 'S' || user_id AS symbol, CAST(ts AS DATE) AS d, count(*) AS mentions,
     round(avg(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END), 6) AS mood FROM events GROUP BY ALL),
 s AS (SELECT *, round(mood - lag(mood) OVER (PARTITION BY symbol ORDER BY d), 6) AS sentiment_delta FROM e),
-daily AS (SELECT m.symbol, m.d, mom_7, z.z, mentions, sentiment_delta FROM m JOIN z USING (symbol, d) JOIN s USING (symbol, d)),
-p AS (SELECT symbol, d, percent_rank() OVER (PARTITION BY d ORDER BY mom_7 NULLS FIRST) AS p1,
+daily AS (SELECT m.symbol, m.d, mom_30, z.z, mentions, sentiment_delta FROM m JOIN z USING (symbol, d) JOIN s USING (symbol, d)),
+p AS (SELECT symbol, d, percent_rank() OVER (PARTITION BY d ORDER BY mom_30 NULLS FIRST) AS p1,
   percent_rank() OVER (PARTITION BY d ORDER BY z NULLS FIRST) AS p2,
   percent_rank() OVER (PARTITION BY d ORDER BY mentions NULLS FIRST) AS p3,
   percent_rank() OVER (PARTITION BY d ORDER BY sentiment_delta NULLS FIRST) AS p4 FROM daily)
 SELECT symbol, CAST(d AS VARCHAR) AS d,
-  round(0.4::DOUBLE * p1 + 0.2::DOUBLE * p2 + 0.2::DOUBLE * p3 + 0.2::DOUBLE * p4, 6) AS score,
+  round(CAST(CAST(0.4::DOUBLE * p1 + 0.2::DOUBLE * p2 + 0.2::DOUBLE * p3 + 0.2::DOUBLE * p4 AS VARCHAR) AS DECIMAL(25, 18)), 6)::DOUBLE AS score,
   CASE WHEN p3 >= 0.8 AND p1 < 0.5 THEN 'hype' WHEN p1 >= 0.8 AND p2 >= 0.5 THEN 'data_backed' ELSE 'mixed' END AS label
 FROM p""")
 def composite_momentum(spark, sf):
     from pyspark.sql import Window
 
     b = bars(spark, sf)
-    mom = market.momentum(b, (7,)).select("symbol", "d", F.col("mom_7").alias("mom_30"))
+    mom = market.momentum(b, (30,)).select("symbol", "d", "mom_30")
     mood = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0)
     talk = table(spark, sf, "events").groupBy(
         F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("symbol"), F.to_date("ts").alias("d")).agg(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query, table, texts
-from orelode.operators import media, preparation
+from orelode.operators import media, near, preparation
 
 
 def symbols(spark, sf):
@@ -107,15 +107,33 @@ def entity_lookup(spark, sf):
 
 
 @query("boilerplate_lines", """WITH lines AS (
-  SELECT doc_id, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')))) AS line FROM documents),
-frequent AS (SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(*) >= 5),
+  SELECT doc_id, sha256(text) AS copy,
+    unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')))) AS line FROM documents),
+frequent AS (
+  SELECT line FROM lines WHERE line <> '' GROUP BY line
+  HAVING count(DISTINCT copy) >= 5 AND count(DISTINCT copy) > 0.01::DOUBLE * (SELECT count(*) FROM documents)),
 cut AS (
   SELECT doc_id, string_split(text, chr(10)) AS old, coalesce((SELECT list(line) FROM frequent), []) AS f FROM documents),
 kept AS (SELECT doc_id, old, list_filter(old, lambda x: NOT list_contains(f, trim(x, ' '))) AS new FROM cut)
 SELECT doc_id, array_to_string(new, chr(10)) AS text, len(old) - len(new) AS dropped FROM kept""")
 def boilerplate_lines(spark, sf):
-    # the SQL counts documents only; the operator's own rule has a share too, and counts texts
-    return preparation.without_boilerplate(texts(spark, sf, "documents"), 5, min_share=0, per_text=False)
+    return preparation.without_boilerplate(texts(spark, sf, "documents"), 5)
+
+
+@query("near_dedupe", """WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x09-\\x0D ]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+    lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (
+  SELECT u, v FROM common JOIN size a ON a.doc_id = u JOIN size b ON b.doc_id = v WHERE c >= 0.8::DOUBLE * (a.n + b.n - c)),
+reach AS (SELECT u, u AS v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v = l.u)
+SELECT doc_id, coalesce(min(v), doc_id) AS class_id FROM documents LEFT JOIN reach ON u = doc_id GROUP BY doc_id""")
+def near_dedupe(spark, sf):
+    return near.near_copies(texts(spark, sf, "documents"))
 
 
 @query("noise_filter", """SELECT doc_id FROM documents

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from checks import sqltext as S
 from checks import web as cw
-from checks.registry import query, table
+from checks.registry import plain, query, table
 from orelode.functions import html as H
 from orelode.functions import urls as U
 from orelode.operators import web
@@ -46,6 +46,10 @@ def portfolio(spark, sf):
     return project_portfolio(companies, curated, discovered, pages, known, landing, AT, vocabulary=cw.WORDS)
 
 
+OTHERS = ", ".join(f"coalesce(f.{c}, '') AS {c}" for c in (
+    "ownership", "location", "status", "mining_style", "measured_indicated_mineral_resources", "inferred_mineral_resources",
+    "geology_text"))
+
 ROWS = f"""{cw.CARDS}, {cw.INFERRED},
 named_cards AS (SELECT page_id, text, {cw.name_sql(S.lines('text'))} AS name FROM flagged WHERE likely),
 good AS (SELECT * FROM named_cards WHERE name <> ''),
@@ -56,15 +60,32 @@ blocks AS (
   WHERE page_id NOT IN (SELECT page_id FROM good) AND length(array_to_string(lines, chr(10))) > 250
     AND {S.count_terms("lower(array_to_string(lines, chr(10)))", cw.TERMS)} > 0 AND name <> ''),
 lined AS (SELECT *, {S.lines('evidence')} AS lines FROM blocks),
-described AS (SELECT *, array_to_string(list_filter(lines, lambda x: length(x) > 45)[1:8], ' ') AS d FROM lined),
+described AS (
+  SELECT *, array_to_string(list_filter(lines, lambda x: length(x) > 45)[1:8], ' ') AS d,
+    {cw.first_sql(cw.OWNERSHIP)} AS own, {cw.first_sql(cw.LOCATION)} AS loc, {cw.first_sql(cw.STATUS)} AS sta,
+    {cw.first_sql(cw.STYLE)} AS sty, regexp_extract_all(evidence, '{cw.RESOURCE}') AS hits,
+    string_split(regexp_replace({S.squeeze('evidence')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS sentences,
+    regexp_extract_all(evidence, '{cw.REPORT}') AS reports,
+    list_filter(regexp_extract_all(evidence, 'https?://[^\\s"'')<>]+'), lambda u: regexp_matches(u, '{cw.REPORT_URL}')) AS report_urls
+  FROM lined),
+picked AS (
+  SELECT *, array_to_string(list_filter(hits, lambda h: contains(lower(h), 'measured') OR contains(lower(h), 'indicated')
+      OR contains(lower(h), 'm&i'))[1:3], ' ') AS mea,
+    array_to_string(list_filter(hits, lambda h: contains(lower(h), 'inferred'))[1:3], ' ') AS inf,
+    array_to_string(list_filter(sentences, lambda x: regexp_matches(x, '{cw.GEOLOGY}'))[1:5], ' ') AS geo FROM described),
 fields AS (
   SELECT page_id, {cw.cleaned_name_sql('name')} AS project_name, layer, {S.trim_text('d', 1800)} AS description_text,
-    {S.trim_text('evidence', 2400)} AS evidence_text,
+    {S.trim_text('evidence', 2400)} AS evidence_text, {S.trim_text('own', 500)} AS ownership,
+    {S.trim_text('loc', 500)} AS location, {S.trim_text('sta', 500)} AS status, {S.trim_text('sty', 500)} AS mining_style,
+    {S.trim_text('mea', 500)} AS measured_indicated_mineral_resources,
+    {S.trim_text('inf', 500)} AS inferred_mineral_resources, {S.trim_text('geo', 900)} AS geology_text,
+    to_json({cw.unique_sql('reports')})::VARCHAR AS technical_report_names_json,
+    to_json({cw.unique_sql('report_urls')})::VARCHAR AS technical_report_urls_json,
     round(least(0.98::DOUBLE, 0.42::DOUBLE + 0.18::DOUBLE + CASE WHEN d <> '' THEN 0.12::DOUBLE ELSE 0 END
       + CASE WHEN regexp_matches(evidence, '{cw.LOCATION}') THEN 0.08::DOUBLE ELSE 0 END
       + CASE WHEN regexp_matches(evidence, '{cw.STATUS}') THEN 0.06::DOUBLE ELSE 0 END
       + CASE WHEN regexp_matches(evidence, '{cw.EVIDENCE}') THEN 0.08::DOUBLE ELSE 0 END
-      + CASE WHEN layer = 'semantic_html' THEN 0.06::DOUBLE ELSE 0 END), 3) AS confidence FROM described),
+      + CASE WHEN layer = 'semantic_html' THEN 0.06::DOUBLE ELSE 0 END), 3) AS confidence FROM picked),
 origins AS (SELECT page_id, {S.normal_url('url')} AS url, {S.ORIGIN.format('url')} AS origin FROM pages),
 candidates AS (
   SELECT upper(c_name) AS symbol, o.page_id, o.url,
@@ -76,8 +97,11 @@ best AS (
     ORDER BY confidence + length(description_text) / 10000.0::DOUBLE DESC, candidate_rank) = 1),
 found AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY project_name, url) <= 40),
 rows AS (
-  SELECT upper(c_name) AS symbol, c_name || ' Limited' AS company_name,
-    coalesce(f.project_name, '') AS project_name,
+  SELECT upper(c_name) AS symbol, c_name || ' Limited' AS company_name, c_name AS short_name, 'gold' AS metal,
+    lower(c_mktsegment) AS company_type, coalesce(f.project_name, '') AS project_name,
+    '2024-01-31T00:00:00Z' AS retrieved_at, {OTHERS},
+    coalesce(f.technical_report_names_json, '[]') AS technical_report_names_json,
+    coalesce(f.technical_report_urls_json, '[]') AS technical_report_urls_json,
     coalesce(f.url, h.url, CASE WHEN c_acctbal < 0 THEN 'https://nowhere.example/' || c_custkey END, '') AS source_url,
     coalesce(f.title, '') AS page_title, coalesce(f.description_text, '') AS description_text,
     coalesce(f.evidence_text, '') AS evidence_text, coalesce(f.confidence, 0.0::DOUBLE) AS confidence,
@@ -88,13 +112,10 @@ rows AS (
          WHEN c_acctbal < 0 THEN 'homepage is not in the page snapshot' ELSE 'No homepage URL available' END AS error_message
   FROM customer LEFT JOIN pages h ON h.page_id = c_custkey LEFT JOIN found f ON f.symbol = upper(c_name))"""
 
-COLUMNS = ["symbol", "company_name", "project_name", "source_url", "page_title", "description_text", "evidence_text",
-           "confidence", "extraction_layer", "status_code", "error_message"]
-
 
-@query("project_portfolio", f"WITH {ROWS} SELECT * FROM rows")
+@query("project_portfolio", f"WITH {ROWS} SELECT *, source_url AS project_url FROM rows")
 def project_portfolio_rows(spark, sf):
-    return portfolio(spark, sf).select(*COLUMNS)
+    return plain(portfolio(spark, sf))
 
 
 @query("project_status", f"""WITH {ROWS} SELECT symbol, min(status_code) AS status,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orelode import dims
@@ -184,6 +186,73 @@ def all_table_stats(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+#: Types of which Parquet footers hold a smallest and largest value that Spark takes as they are.
+FOOTER_TYPES = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date")
+_V1_SOURCES = "spark.sql.sources.useV1SourceList"
+
+
+def footer_table(spark: SparkSession, path: str, raw: Sequence[str] = ()) -> DataFrame:
+    """A Parquet table whose counts, smallest and largest values are taken from the file footers.
+
+    Spark does so for tables of its newer reader only, and where ``spark.sql.parquet.aggregatePushdown`` is on, which
+    this turns on for the session. The reader is chosen here, for this table alone. Columns named in ``raw`` are read as
+    the 64-bit numbers they are stored as, since Spark takes no largest time from a footer.
+    """
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    before = spark.conf.get(_V1_SOURCES)
+    spark.conf.set(_V1_SOURCES, ",".join(x for x in before.split(",") if x.strip().lower() != "parquet"))
+    try:
+        table = spark.read.parquet(path)
+        if not raw:
+            return table
+        schema = ", ".join(f"`{c}` {'bigint' if c in raw else kind}" for c, kind in table.dtypes)
+        return spark.read.schema(schema).parquet(path)
+    finally:
+        spark.conf.set(_V1_SOURCES, before)
+
+
+def footer_stats(spark: SparkSession, path: str, ts_col: str, unit: str | None = None) -> DataFrame:
+    """``row_count, newest`` of a Parquet table from its footers; see ``file_stats``."""
+    kind = dict(spark.read.parquet(path).dtypes)[ts_col]
+    timed = unit is not None and kind.startswith("timestamp")
+    table = footer_table(spark, path, [ts_col] if timed else [])
+    count, newest = F.count(F.lit(1)).alias("row_count"), F.max(ts_col).alias("newest")
+    if timed:
+        seconds = (F.col("newest").cast("decimal(20,0)") / F.lit({"micros": 1_000_000, "millis": 1000}[unit])).cast("decimal(18,6)")
+        time = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+        if kind == "timestamp":  # an instant, shown in the zone of the session
+            time = F.convert_timezone(F.lit("UTC"), F.current_timezone(), time)
+        return table.agg(count, newest).select("row_count", time.alias("newest"))
+    if kind in FOOTER_TYPES:
+        return table.agg(count, newest).select("row_count", F.col("newest").cast("timestamp_ntz").alias("newest"))
+    scanned = spark.read.parquet(path).agg(newest)
+    return table.agg(count).select("row_count", F.lit(None).cast("timestamp_ntz").alias("newest")).unionByName(
+        scanned.select(F.lit(None).cast("long").alias("row_count"), F.col("newest").cast("timestamp_ntz").alias("newest"))
+    ).agg(F.max("row_count").alias("row_count"), F.max("newest").alias("newest"))
+
+
+def file_stats(spark: SparkSession, path: str, name: str, ts_col: str, unit: str | None = None) -> DataFrame:
+    """``table_stats`` of a Parquet table from its footers: no row is read.
+
+    Times take their ``unit``, ``micros`` or ``millis`` as the files store them; without one, and for texts, whose
+    footers may hold them cut, rows are counted from the footers and the column alone is scanned for the newest.
+    Some files have no statistics for a column, such as those with nulls alone: then the table is scanned. Runs at
+    once, as only running shows this; one row goes through the driver.
+    """
+    def shown(stats: DataFrame) -> DataFrame:
+        return stats.select(F.lit(name).alias("table"), "row_count", iso_text(F.col("newest")).alias("latest_data_at"),
+                            F.lit(None).cast("string").alias("error"), F.lit(True).alias("captured"))
+
+    try:
+        rows = shown(footer_stats(spark, path, ts_col, unit))
+        row = rows.first()  # a table without row groups has no count at all
+        return spark.createDataFrame([(name, row["row_count"] or 0, *row[2:])], rows.schema)
+    except Py4JJavaError as failed:
+        if "No min/max found" not in str(failed):
+            raise
+        return table_stats(spark.read.parquet(path), name, ts_col)
+
+
 def first_result(payload: Column, field: str) -> Column:
     """A field of the first result row, in any of the three envelope layouts."""
     roots = ("$[0].results[0]", "$.result[0].results[0]", "$.results[0]")

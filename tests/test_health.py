@@ -126,3 +126,33 @@ def test_result_does_not_depend_on_partitions(runs, config):
     a = jobs.feed_health(runs.repartition(1), config, AS_OF).orderBy("id").collect()
     b = jobs.feed_health(runs.repartition(16), config, AS_OF).orderBy("id").collect()
     assert a == b
+
+
+def test_file_stats_come_from_footers(spark, sf, tmp_path):
+    from orelode.operators import health
+
+    def plan(table, column, unit):
+        stats = health.footer_stats(spark, f"{sf}/{table}.parquet", column, unit)
+        return stats._jdf.queryExecution().executedPlan().toString()
+
+    assert "PushedAggregation: [COUNT(*), MAX(o_orderdate)]" in plan("orders", "o_orderdate", "micros")
+    assert "PushedAggregation: [COUNT(*), MAX(ts)]" in plan("events", "ts", "micros")
+    scanned = plan("events", "ts", None)
+    assert "PushedAggregation: [COUNT(*)]" in scanned and "ReadSchema: struct<ts:" in scanned
+    assert "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")
+    rows = [(1, "2024-01-03 04:05:06.789123"), (2, None), (3, "1969-12-31 23:59:59.5")]
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+    for part, own in enumerate((rows, [])):
+        spark.createDataFrame(own, "id long, d string").selectExpr(
+            "id", "cast(d as date) as d", "cast(d as timestamp) as t", "cast(d as timestamp_ntz) as z", "cast(null as date) as n",
+            "cast(null as timestamp_ntz) as m", "cast(substr(d, 1, 19) as timestamp) as s").write.parquet(f"{tmp_path}/{part}")
+    spark.conf.unset("spark.sql.parquet.outputTimestampType")
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        for part in (0, 1):
+            path = f"{tmp_path}/{part}"
+            for column in "dtznms":
+                want = health.table_stats(spark.read.parquet(path), "x", column).collect()
+                for unit in (None, "micros"):
+                    assert health.file_stats(spark, path, "x", column, unit).collect() == want, (zone, part, column, unit)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
