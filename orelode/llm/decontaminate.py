@@ -38,7 +38,7 @@ EVERY = -2.0
 PASSAGE = 64
 STEP = 8
 #: Share of all passages from which a feature is too frequent to tell them apart.
-FREQUENT = 0.1
+FREQUENT = 0.02
 #: Share of an item's words in the common subsequence that makes a leak, and one that does with the whole answer.
 VERBATIM = 0.7
 PARAPHRASE = 0.5
@@ -186,6 +186,12 @@ class Space:
     place: np.ndarray
     rows: np.ndarray
 
+    def __post_init__(self):
+        """``bits`` has one of 256 bits for each known feature, none for others."""
+        bit = np.arange(len(self.rows) - 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)
+        self.bits = np.zeros((len(self.rows), 4), np.uint64)
+        self.bits[np.arange(len(bit)), bit >> np.uint64(6)] = np.uint64(1) << (bit & np.uint64(63))
+
     def of(self, words: np.ndarray) -> np.ndarray:
         return self.place[words & FEATURES - 1]
 
@@ -287,18 +293,29 @@ class Class:
         size = np.linalg.norm(vectors, axis=1, keepdims=True)
         self.matrix = np.ascontiguousarray((vectors / np.maximum(size, 1e-12)).T, np.float32)
         # an item whose words all weigh nothing has no direction, so each of its windows is a candidate
-        self.blind = np.flatnonzero(size[:, 0] == 0)
+        self.blind = size[:, 0] == 0
         self.needed = np.array([x.needed for x in items])
+        self.masks = np.array([np.bitwise_or.reduce(space.bits[space.of(x.words)], axis=0) for x in items])
+        self.met = self.needed - [len(x.words) for x in items] + np.bitwise_count(self.masks).sum(axis=1, dtype=int)
         self.times = np.zeros((len(items), len(space.rows)), np.uint16)  # the last place stands for no word
         for k, x in enumerate(items):
             np.add.at(self.times[k], space.of(x.words), 1)
 
-    def near(self, windows: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
-        """Windows, a row of coordinates each, and items whose cosine is at least ``near``."""
-        size = np.sqrt((windows * windows).sum(axis=1, keepdims=True))
-        close = windows @ self.matrix >= np.where(size > 0, near * size, np.inf if near > 0 else near)
-        close[:, self.blind] = True
-        return np.divmod(np.flatnonzero(close), len(self.items))
+    def near(self, windows: np.ndarray, masks: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and items that may leak: enough of their bits meet, and their cosine is at least ``near``.
+
+        Words in common are no more than common bits and what of the item's words share a bit, so the first
+        condition loses nothing. ``windows`` and ``masks`` have a row of coordinates and of bits for each window.
+        """
+        common = np.bitwise_count(masks[:, 0, None] & self.masks[:, 0]).astype(np.int16)
+        for k in range(1, masks.shape[1]):
+            common += np.bitwise_count(masks[:, k, None] & self.masks[:, k])
+        rows, items = np.divmod(np.flatnonzero(common >= self.met), len(self.items))
+        found = windows[rows].astype(np.float32)
+        size = np.sqrt(np.einsum("ij,ij->i", found, found))
+        cosine = np.einsum("ij,ij->i", found, self.matrix.T[items]) / np.maximum(size, 1e-12)
+        close = (cosine >= near) & ((size > 0) | (near <= 0)) | self.blind[items]
+        return rows[close], items[close]
 
     def enough(self, place: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Which windows, a row of places each, have enough words in common with their item, counting repeats of both."""
@@ -333,16 +350,6 @@ class Search:
                 group, size = [], 0
         return out
 
-    def _sums(self, place: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Running sums, before each step, of the coordinates of its words; ``start`` has the first word of each step."""
-        total = np.zeros((len(start) + 1, RANK))
-        known = np.flatnonzero(place < len(self.space.rows) - 1)
-        if len(known):
-            step = np.searchsorted(start, known, side="right")
-            first = runs(step)
-            total[step[first]] = np.add.reduceat(np.take(self.space.rows, place[known], axis=0), first, axis=0)
-        return np.cumsum(total, axis=0, out=total)
-
     def _search(self, group: list[int], texts: list[np.ndarray], out: list[list[tuple]]) -> None:
         words = np.concatenate(texts)
         place = np.append(self.space.of(words), np.int32(len(self.space.rows) - 1))
@@ -357,12 +364,20 @@ class Search:
         for at in range(0, len(text), WINDOWS):
             here = np.arange(at, min(at + WINDOWS, len(text)))
             stop = min(at + len(here) + widest, len(text))
-            upto = start[stop] if stop < len(text) else len(words)
-            total = self._sums(place[start[at]:upto], start[at:stop] - start[at])
+            step = start[at:stop, None] + np.arange(STEP)  # the words of each step, and of each window the sums and bits of its steps
+            step = place[np.where(step < end[at:stop, None], step, len(words))]
+            total = np.zeros((len(step) + 1, RANK))
+            np.cumsum(np.take(self.space.rows, step, axis=0).sum(axis=1), axis=0, out=total[1:])
+            bits = np.bitwise_or.reduce(np.take(self.space.bits, step, axis=0), axis=1)
+            masks, done = bits[:len(here)].copy(), 1
             for kind in self.classes:
                 reach = np.arange(kind.wide * STEP)
-                windows = (np.take(total, np.minimum(here + kind.wide, last[here]) - at, axis=0) - total[:len(here)]).astype(np.float32)
-                rows, items = kind.near(windows, self.near)
+                for done in range(done, kind.wide):  # classes are in the order of their widths
+                    inside = np.flatnonzero(here + done < last[here])
+                    masks[inside] |= bits[inside + done]
+                done = kind.wide
+                windows = np.take(total, np.minimum(here + kind.wide, last[here]) - at, axis=0) - total[:len(here)]
+                rows, items = kind.near(windows, masks, self.near)
                 many = max(1, PAIRS // len(reach))
                 for k in range(0, len(rows), many):
                     i, j = rows[k:k + many], items[k:k + many]
