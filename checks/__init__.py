@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("health", "coverage", "keyed", "video", "web", "portfolio", "market", "media", "stream")
+MODULES = ("health", "coverage", "keyed", "video", "web", "portfolio", "market", "media", "stream", "sources")
 
 
 def load():

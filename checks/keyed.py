@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from checks.registry import plain, query, table
 from orelode.operators import keyed
+from orelode.session import work_folder
+from orelode.sources.parted import PartedTable
 
 NOW = "2024-01-31T00:00:00Z"
 
@@ -20,7 +22,7 @@ def day(text: str):
     return F.lit(f"{text} 00:00:00").cast("timestamp_ntz")
 
 
-@query("upsert_checks", """WITH target AS (
+UPSERTED = """WITH target AS (
   SELECT user_id, arg_max(event_type, event_id) AS status, arg_max(value, event_id) AS value FROM events
   WHERE ts < TIMESTAMP '2024-01-16' GROUP BY user_id),
 batch AS (
@@ -31,7 +33,10 @@ SELECT coalesce(b.user_id, t.user_id) AS user_id,
   CASE WHEN b.user_id IS NULL THEN t.value ELSE b.value END AS value,
   CASE WHEN t.user_id IS NULL THEN '2024-01-31T00:00:00Z' ELSE '2024-01-02T00:00:00Z' END AS created_at,
   CASE WHEN b.user_id IS NULL THEN '2024-01-02T00:00:00Z' ELSE '2024-01-31T00:00:00Z' END AS updated_at
-FROM target t FULL JOIN batch b ON t.user_id = b.user_id""")
+FROM target t FULL JOIN batch b ON t.user_id = b.user_id"""
+
+
+@query("upsert_checks", UPSERTED)
 def upsert_checks(spark, sf):
     target = user_state(spark, sf, F.col("ts") < day("2024-01-16")).withColumn(
         "created_at", day("2024-01-02")).withColumn("updated_at", day("2024-01-02"))
@@ -41,6 +46,21 @@ def upsert_checks(spark, sf):
     return plain(keyed.upsert(target, batch, ["user_id"], NOW, arrival="arrival"))
 
 
+@query("parted_upsert", UPSERTED)
+def parted_upsert(spark, sf):
+    """The same in a table of parts, the second batch given twice, as after a failure."""
+    own = "user_id", "status", "value"
+    schema = spark.createDataFrame([], user_state(spark, sf, F.lit(True)).select(
+        *own, day("2024-01-02").alias("created_at"), day("2024-01-02").alias("updated_at")).schema).schema
+    held = PartedTable(spark, work_folder(spark, "parted"), schema, ["user_id"], parts=16)
+    held.upsert(user_state(spark, sf, F.col("ts") < day("2024-01-16")), "2024-01-02T00:00:00Z", batch_no=0)
+    batch = table(spark, sf, "events").filter(F.col("ts") >= day("2024-01-16")).select(
+        "user_id", F.col("event_type").alias("status"), "value", F.col("event_id").alias("arrival"))
+    for _ in range(2):
+        held.upsert(batch, NOW, arrival="arrival", batch_no=1)
+    return plain(held.read())
+
+
 @query("upsert_alerts_reopen", """WITH target AS (
   SELECT substr(sha1('alert|orders|' || o_custkey), 1, 24) AS id, max(o_orderdate) AS newest, count(*) AS n FROM orders
   WHERE o_orderstatus = 'F' GROUP BY o_custkey),

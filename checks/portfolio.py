@@ -7,6 +7,8 @@ homepage that is not in the snapshot, so they fail.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks import sqltext as S
@@ -16,7 +18,7 @@ from orelode.functions import html as H
 from orelode.functions import urls as U
 from orelode.operators import web
 from orelode.operators.health import count_by
-from orelode.plans.portfolio import project_portfolio
+from orelode.plans.portfolio import page_snapshot, project_portfolio
 
 AT = "2024-01-31T00:00:00Z"
 
@@ -118,6 +120,16 @@ def project_portfolio_rows(spark, sf):
     return plain(portfolio(spark, sf))
 
 
+@query("project_status_snapshot", f"""WITH {ROWS} SELECT symbol, min(status_code) AS status,
+  count(*) FILTER (WHERE status_code = 'found') AS projects FROM rows GROUP BY symbol""")
+def project_status_snapshot(spark, sf):
+    companies, curated, discovered, pages, known, landing = inputs(spark, sf)
+    name = "pages_" + re.sub(r"\W", "_", sf)  # a table for each set of inputs
+    held = page_snapshot(pages, name, spark.sparkContext.defaultParallelism)
+    return web.project_status(project_portfolio(
+        companies, curated, discovered, held, known, landing, AT, vocabulary=cw.WORDS, snapshot=True))
+
+
 @query("project_status", f"""WITH {ROWS} SELECT symbol, min(status_code) AS status,
   count(*) FILTER (WHERE status_code = 'found') AS projects FROM rows GROUP BY symbol""")
 def project_status(spark, sf):

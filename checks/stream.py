@@ -15,8 +15,22 @@ def event_stream(spark, sf):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf}/events.parque[t]")
 
 
-@query("stream_upsert", """SELECT user_id, event_type AS status, value, event_id FROM events
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
+NEWEST = """SELECT user_id, event_type AS status, value, event_id FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"""
+
+
+@query("stream_upsert_compacted", NEWEST)
+def stream_upsert_compacted(spark, sf):
+    """The changes in five files, a micro-batch each; every two batches become a base."""
+    folder, source = work_folder(spark, "compacted"), work_folder(spark, "changes")
+    changes = table(spark, sf, "events").select("user_id", F.col("event_type").alias("status"), "value", "event_id")
+    changes.repartition(5, "event_id").write.parquet(source)
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    feeds.upsert_stream(stream, folder, ["user_id"], "event_id", compact_after=2).awaitTermination()
+    return feeds.current_rows(spark, folder, ["user_id"], "event_id")
+
+
+@query("stream_upsert", NEWEST)
 def stream_upsert(spark, sf):
     folder = work_folder(spark, "upsert")
     changes = event_stream(spark, sf).select("user_id", F.col("event_type").alias("status"), "value", "event_id")

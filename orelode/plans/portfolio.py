@@ -11,18 +11,32 @@ from orelode.operators import coverage, web
 from orelode.session import settle
 
 
+def page_snapshot(pages: DataFrame, name: str, buckets: int = 64) -> DataFrame:
+    """``url, html`` written as the table ``name``, dealt out and sorted by the normal form of the URL.
+
+    A join on ``url`` with any table then moves that table only: neither the pages nor their HTML are shuffled
+    again, and homepages, landing pages and candidate pages meet them by merge joins. Give as many buckets as
+    make each some hundred megabytes. Replaces a table of this name.
+    """
+    keyed = pages.select(normalize_url(F.col("url")).alias("url"), "html").repartition(buckets, "url")
+    keyed.write.bucketBy(buckets, "url").sortBy("url").mode("overwrite").saveAsTable(name)
+    return pages.sparkSession.table(name)
+
+
 def project_portfolio(companies: DataFrame, curated: DataFrame, discovered: DataFrame, pages: DataFrame,
                       known: DataFrame, landing: DataFrame, retrieved_at, common: list[str] | None = None,
                       vocabulary: web.Vocabulary = web.MINING, min_confidence: float = 0.52,
-                      project_cap: int = 40, cap: int = 55, landing_cap: int = 10) -> DataFrame:
+                      project_cap: int = 40, cap: int = 55, landing_cap: int = 10,
+                      snapshot: bool = False) -> DataFrame:
     """Project rows of all companies, and a status row for each company without any.
 
     Short tables are written on the way: the companies with their homepage and
     the candidate URLs. A page is parsed once for links and once for projects, and
     only if a company names it. At the default ``min_confidence`` no found row is
-    dropped, as the lowest possible score is 0.60.
+    dropped, as the lowest possible score is 0.60. With ``snapshot`` the pages are a table of ``page_snapshot``,
+    whose URLs are in normal form already.
     """
-    keyed = pages.select(normalize_url(F.col("url")).alias("url"), "html")
+    keyed = pages.select("url", "html") if snapshot else pages.select(normalize_url(F.col("url")).alias("url"), "html")
 
     # The homepage itself must be in the snapshot; a company without it has failed.
     # The company table is short next to the pages, so only URLs that are a homepage are counted.

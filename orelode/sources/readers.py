@@ -56,7 +56,10 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_companies(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Company dimension; names fall back from company to name to symbol."""
+    """Company dimension; names fall back from company to name to symbol.
+
+    ``ordinal`` sorts the rows as the files have them, for a limit in the order of the dimension.
+    """
     schema = "symbol string, company string, name string, metal string, type string, aliases array<string>, q string"
     return spark.read.schema(schema).format(fmt).load(path).select(
         "symbol",
@@ -64,7 +67,8 @@ def read_companies(spark: SparkSession, path: str, fmt: str = "json") -> DataFra
         filled(F.col("name"), F.col("symbol")).alias("short_name"),
         F.coalesce("metal", F.lit("")).alias("metal"),
         F.coalesce("type", F.lit("")).alias("company_type"),
-        "aliases", "q")
+        "aliases", "q",
+        F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("ordinal"))
 
 
 def read_homepages(spark: SparkSession, path: str) -> DataFrame:

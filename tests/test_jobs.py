@@ -293,3 +293,34 @@ def test_branch_filter_and_columns_reach_the_scan(spark, tmp_path):
         "created_at", F.lit("2024-01-01").cast("timestamp_ntz")).withColumn("updated_at", F.col("created_at")).write.parquet(path)
     plan = health.run_heads(health.on_branch(spark.read.parquet(path), "main"))._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(branch,main)" in plan and "note" not in plan
+
+
+def test_snapshot_is_not_shuffled(spark, sf):
+    """Beyond the broadcast size the pages still stand still: what meets them is dealt out like their buckets."""
+    from checks import portfolio as cp
+    from checks import web as cw
+    from orelode.plans.portfolio import page_snapshot
+
+    companies, curated, discovered, pages, known, landing = cp.inputs(spark, sf)
+    held = page_snapshot(pages, "pages_not_shuffled", 8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = project_portfolio(companies, curated, discovered, held, known, landing, cp.AT, vocabulary=cw.WORDS, snapshot=True)
+        lines = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+        scans = [k for k, line in enumerate(lines) if "pages_not_shuffled" in line]
+        assert scans
+        for k in scans:
+            depth, above = len(lines[k]) - len(lines[k].lstrip(" :+-")), []
+            for line in reversed(lines[:k]):
+                own = len(line) - len(line.lstrip(" :+-"))
+                if own < depth:
+                    depth = own
+                    above.append(line.lstrip(" :+-"))
+            join = next(n for n, x in enumerate(above) if x.startswith("SortMergeJoin"))
+            assert not any(x.startswith("Exchange") for x in above[:join]), above[:join + 1]
+        want = project_portfolio(companies, curated, discovered, pages, known, landing, cp.AT, vocabulary=cw.WORDS)
+        assert sorted(map(str, rows.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE pages_not_shuffled")
