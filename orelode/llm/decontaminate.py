@@ -169,7 +169,7 @@ def _sketch(place: np.ndarray, weight: np.ndarray, right: np.ndarray):
             seen = np.zeros((len(sizes), RANK), np.float32)
             seen[owner[first]] = np.add.reduceat(np.take(weighted, found, axis=0), first, axis=0)
             seen /= (sizes * sizes)[:, None].astype(np.float32)
-            order = np.argsort(found, kind="stable")
+            order = np.argsort(found.astype(np.uint16), kind="stable")
             found = found[order]
             first = runs(found)
             acc[found[first]] += np.add.reduceat(np.take(seen, owner[order], axis=0), first, axis=0)
@@ -187,8 +187,8 @@ class Space:
     rows: np.ndarray
 
     def __post_init__(self):
-        """``bits`` has one of 256 bits for each known feature, none for others."""
-        bit = np.arange(len(self.rows) - 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)
+        """``bits`` has one of 255 bits for each known feature, none for others."""
+        bit = (np.arange(len(self.rows) - 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(255)
         self.bits = np.zeros((len(self.rows), 4), np.uint64)
         self.bits[np.arange(len(bit)), bit >> np.uint64(6)] = np.uint64(1) << (bit & np.uint64(63))
 
@@ -291,12 +291,14 @@ class Class:
         self.wide, self.items = wide, items
         vectors = np.array([space.rows[space.of(x.words)].sum(axis=0) for x in items])
         size = np.linalg.norm(vectors, axis=1, keepdims=True)
-        self.matrix = np.ascontiguousarray((vectors / np.maximum(size, 1e-12)).T, np.float32)
+        self.vectors = np.ascontiguousarray(vectors / np.maximum(size, 1e-12), np.float32)
         # an item whose words all weigh nothing has no direction, so each of its windows is a candidate
         self.blind = size[:, 0] == 0
         self.needed = np.array([x.needed for x in items])
         self.masks = np.array([np.bitwise_or.reduce(space.bits[space.of(x.words)], axis=0) for x in items])
-        self.met = self.needed - [len(x.words) for x in items] + np.bitwise_count(self.masks).sum(axis=1, dtype=int)
+        # counts of at most 255 bits fit into bytes; an item that needs no common bit is met by all windows
+        met = self.needed - [len(x.words) for x in items] + np.bitwise_count(self.masks).sum(axis=1, dtype=int)
+        self.met = np.ceil(np.maximum(met, 0)).astype(np.uint8)
         self.times = np.zeros((len(items), len(space.rows)), np.uint16)  # the last place stands for no word
         for k, x in enumerate(items):
             np.add.at(self.times[k], space.of(x.words), 1)
@@ -307,13 +309,13 @@ class Class:
         Words in common are no more than common bits and what of the item's words share a bit, so the first
         condition loses nothing. ``windows`` and ``masks`` have a row of coordinates and of bits for each window.
         """
-        common = np.bitwise_count(masks[:, 0, None] & self.masks[:, 0]).astype(np.int16)
+        common = np.bitwise_count(masks[:, 0, None] & self.masks[:, 0])
         for k in range(1, masks.shape[1]):
             common += np.bitwise_count(masks[:, k, None] & self.masks[:, k])
         rows, items = np.divmod(np.flatnonzero(common >= self.met), len(self.items))
         found = windows[rows].astype(np.float32)
         size = np.sqrt(np.einsum("ij,ij->i", found, found))
-        cosine = np.einsum("ij,ij->i", found, self.matrix.T[items]) / np.maximum(size, 1e-12)
+        cosine = np.einsum("ij,ij->i", found, self.vectors[items]) / np.maximum(size, 1e-12)
         close = (cosine >= near) & ((size > 0) | (near <= 0)) | self.blind[items]
         return rows[close], items[close]
 
@@ -388,7 +390,7 @@ class Search:
                         low = start[at + a]
                         high = min(low + len(reach), end[at + a])
                         if found := leaked(kind.items[b], words[low:high].tolist()):
-                            cosine = float(windows[a] @ kind.matrix[:, b]) / max(float(np.linalg.norm(windows[a])), 1e-9)
+                            cosine = float(windows[a] @ kind.vectors[b]) / max(float(np.linalg.norm(windows[a])), 1e-9)
                             owned = int(text[at + a])
                             key = (owned, id(kind.items[b]))
                             row = (found, round(cosine, 6), -int(low - (end[at + a] - size[owned])), kind.items[b])

@@ -35,8 +35,9 @@ SWEEPS = 12
 HIDDEN = 128
 PASSES = 20
 SEED = 11
-#: Rows of a block of a partition, and queries that meet it at once.
+#: Rows of a block of a partition, queries of a block of them (nearly), and queries that meet at once.
 BLOCK = 4096
+QUERY_BLOCK = 4096
 QUERIES_AT_ONCE = 256
 
 
@@ -235,13 +236,21 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, parts: int = P
     sizes = index.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row for each part
     index = index.join(F.broadcast(sizes), "part").withColumn(
         "block", F.pmod(F.xxhash64("vector"), F.col("blocks")).cast("int"))
-    queries = rows.where(is_query).withColumn("query_key", F.xxhash64("vector")).withColumn(
-        "part", F.explode(routes(F.col("vector"), router, count)))
-    queries = queries.join(F.broadcast(sizes), "part").withColumn(
+    routed = settle(rows.where(is_query).withColumn("query_key", F.xxhash64("vector")).withColumn(
+        "parts", routes(F.col("vector"), router, count)), "queries")
+    asked = routed.select(F.explode("parts").alias("part")).groupBy("part").agg(
+        F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))  # a row for each part
+    sizes = sizes.join(F.broadcast(asked), "part")
+    # both sides of a group are blocks of bounded size, however many rows and queries a part has
+    queries = routed.withColumn("part", F.explode("parts")).join(F.broadcast(sizes), "part").withColumn(
+        "query_block", F.pmod(F.xxhash64("query_key", "vec_id"), F.col("query_blocks")).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    queries = queries.select(F.col("vec_id").alias("query_id"), "query_key", "vector", "part", "block")
-    ranked = queries.groupBy("part", "block").cogroup(
-        index.select("vector", "ids", "part", "block").groupBy("part", "block")).applyInPandas(_rank(top), RANKED)
+    queries = queries.select(F.col("vec_id").alias("query_id"), "query_key", "vector", "part", "block", "query_block")
+    index = index.join(F.broadcast(asked), "part").withColumn(
+        "query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
+    group = "part", "block", "query_block"
+    ranked = queries.groupBy(*group).cogroup(
+        index.select("vector", "ids", *group).groupBy(*group)).applyInPandas(_rank(top), RANKED)
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select(
         "query_id", "rank", "vec_id", "score")

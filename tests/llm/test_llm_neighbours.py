@@ -49,6 +49,7 @@ def test_all_partitions_give_the_exact_result(spark, monkeypatch):
     vectors[50:170] = vectors[7]  # more copies than a result holds
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
     monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 4)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
     assert table(nearest(df, count=32)) == exact(rows)
 
