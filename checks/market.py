@@ -122,7 +122,7 @@ def volatility_corr(spark, sf):
     return market.return_correlation(bars(spark, sf), bars(spark, sf, "metal"))
 
 
-@query("composite_momentum", f"""WITH {BARS}, {ANOMALY}, m AS (SELECT symbol, d, {mom_sql(30)} FROM bars),
+COMPOSITE = f"""WITH {BARS}, {ANOMALY}, m AS (SELECT symbol, d, {mom_sql(30)} FROM bars),
 e AS (
   SELECT 'S' || user_id AS symbol, CAST(ts AS DATE) AS d, count(*) AS mentions,
     round(avg(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END), 6) AS mood FROM events GROUP BY ALL),
@@ -135,8 +135,20 @@ p AS (SELECT symbol, d, percent_rank() OVER (PARTITION BY d ORDER BY mom_30 NULL
 SELECT symbol, CAST(d AS VARCHAR) AS d,
   round(CAST(CAST(0.4::DOUBLE * p1 + 0.2::DOUBLE * p2 + 0.2::DOUBLE * p3 + 0.2::DOUBLE * p4 AS VARCHAR) AS DECIMAL(25, 18)), 6)::DOUBLE AS score,
   CASE WHEN p3 >= 0.8 AND p1 < 0.5 THEN 'hype' WHEN p1 >= 0.8 AND p2 >= 0.5 THEN 'data_backed' ELSE 'mixed' END AS label
-FROM p""")
+FROM p"""
+
+
+@query("composite_momentum", COMPOSITE)
 def composite_momentum(spark, sf):
+    return plain(market.composite_momentum(measured(spark, sf)))
+
+
+@query("composite_momentum_slices", COMPOSITE)
+def composite_momentum_slices(spark, sf):
+    return plain(market.composite_momentum(measured(spark, sf), slices=8))
+
+
+def measured(spark, sf):
     from pyspark.sql import Window
 
     b = bars(spark, sf)
@@ -148,8 +160,7 @@ def composite_momentum(spark, sf):
     w = Window.partitionBy("symbol").orderBy("d")
     talk = talk.withColumn("sentiment_delta", F.round(F.col("mood") - F.lag("mood").over(w), 6))
     z = market.volume_anomaly(b).select("symbol", "d", "z")
-    daily = mom.join(z, ["symbol", "d"]).join(talk, ["symbol", "d"])
-    return plain(market.composite_momentum(daily))
+    return mom.join(z, ["symbol", "d"]).join(talk, ["symbol", "d"])
 
 
 @query("compare_pivot", f"""WITH {METALS},

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orelode.operators.ranking import top_n_per
+from orelode.operators.ranking import top_n_per, with_percent_rank
+from orelode.session import settle
 
 HORIZONS = (1, 7, 30, 182, 365)
 
@@ -122,19 +123,24 @@ def return_correlation(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
         "symbol", "benchmark").agg(F.count(F.lit(1)).alias("n_days"), _round(F.corr("ret", "bench_ret")).alias("correlation"))
 
 
-def composite_momentum(daily: DataFrame) -> DataFrame:
+def composite_momentum(daily: DataFrame, slices: int | None = None) -> DataFrame:
     """Weighted percent ranks per day, and hype against data-backed momentum.
 
     ``daily`` has ``symbol, d, mom_30, z, mentions, sentiment_delta``; a missing
-    measure ranks lowest.
+    measure ranks lowest. A task sorts a day; with ``slices`` it sorts a range of a day's values, for more symbols
+    than a task holds. The result is the same.
     """
 
     def rank_of(c: str) -> Column:
         return F.percent_rank().over(Window.partitionBy("d").orderBy(F.col(c).asc_nulls_first()))
 
-    ranked = daily.select(
-        "symbol", "d", rank_of("mom_30").alias("p_mom"), rank_of("z").alias("p_z"),
-        rank_of("mentions").alias("p_mentions"), rank_of("sentiment_delta").alias("p_sentiment"))
+    measures = {"mom_30": "p_mom", "z": "p_z", "mentions": "p_mentions", "sentiment_delta": "p_sentiment"}
+    if slices is None:
+        ranked = daily.select("symbol", "d", *(rank_of(c).alias(p) for c, p in measures.items()))
+    else:
+        ranked = settle(daily.select("symbol", "d", *measures), "measures")
+        for c, p in measures.items():
+            ranked = with_percent_rank(ranked, "d", c, p, slices)
     score = 0.4 * F.col("p_mom") + 0.2 * F.col("p_z") + 0.2 * F.col("p_mentions") + 0.2 * F.col("p_sentiment")
     hype = (F.col("p_mentions") >= 0.8) & (F.col("p_mom") < 0.5)
     backed = (F.col("p_mom") >= 0.8) & (F.col("p_z") >= 0.5)

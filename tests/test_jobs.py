@@ -324,3 +324,16 @@ def test_snapshot_is_not_shuffled(spark, sf):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("DROP TABLE pages_not_shuffled")
+
+
+def test_percent_ranks_in_slices(spark):
+    """As the window has them, with ties, nulls, a day of one row and a day of one value; no window holds a whole day."""
+    draw = random.Random(8)
+    rows = [(f"S{k}", f"d{k % 3}", draw.choice([None, 1.0, draw.random(), draw.random()]), draw.choice([None, 0.0, 2.0]),
+             draw.randrange(5), None if k % 3 else draw.random()) for k in range(300)]
+    rows += [("X", "alone", 1.0, 1.0, 1, 1.0)] + [(f"T{k}", "same", 1.0, None, 7, 0.5) for k in range(20)] + [("N", None, 1.0, 2.0, 3, 4.0)]
+    daily = spark.createDataFrame(rows, "symbol string, d string, mom_30 double, z double, mentions long, sentiment_delta double")
+    want = sorted(map(str, market.composite_momentum(daily).collect()))
+    for slices in (1, 2, 16):
+        got = market.composite_momentum(daily, slices=slices)
+        assert sorted(map(str, got.collect())) == want
