@@ -52,7 +52,8 @@ def companies_in_order(spark, sf):
 
 @query("select_symbols", f"SELECT * FROM ({COMPANIES}) WHERE symbol LIKE '%7'")
 def chosen_symbols(spark, sf):
-    wanted = [f" {r[0].lower()} " for r in table(spark, sf, "customer").where("c_name like '%7'").select("c_name").collect()]
+    wanted = table(spark, sf, "customer").where("c_name like '%7'").select(
+        F.concat(F.lit(" "), F.lower("c_name"), F.lit(" ")).alias("symbol"))
     return select_symbols(companies(spark, sf), wanted).drop("aliases", "q", "ordinal")
 
 
