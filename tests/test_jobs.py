@@ -326,6 +326,36 @@ def test_snapshot_is_not_shuffled(spark, sf):
         spark.sql("DROP TABLE pages_not_shuffled")
 
 
+def test_pages_known_by_site(spark):
+    """As if each company had the whole list of its site, without making a row for each company and page of a site."""
+    companies = spark.createDataFrame(
+        [(f"S{i}", f"https://a.com/c{i}") for i in range(60)] + [("T", "HTTPS://b.com/")] + [("S1", "https://a.com/c1")],
+        "symbol string, homepage_url string")
+    paths = [("https://a.com", i, f"/p{i // 2}") for i in range(300)] + [("https://b.com", 1, "/x#f"), ("https://b.com", 2, "/x")]
+    owners = [(f"S{i}", "https://a.com") for i in range(60)] + [("T", "https://b.com"), ("S2", "https://b.com")]
+    paths = spark.createDataFrame(paths, "site string, pos long, path string")
+    owners = spark.createDataFrame(owners, "symbol string, site string")
+    landing = spark.createDataFrame([], "symbol string, pos int, path string")
+    by_site = web.path_candidates(companies, web.SitePaths(owners, paths), landing, [])
+    whole = web.path_candidates(companies, owners.join(paths, "site").select("symbol", "pos", "path"), landing, [])
+    order = [F.col("source_rank"), F.col("place")]
+
+    def ranked(rows):
+        return sorted((r.symbol, r.candidate_rank, r.url) for r in web.rank_candidates(rows, order, 55).collect())
+
+    assert ranked(by_site) == ranked(whole) and len(ranked(whole)) == 60 * 55 + 1
+    assert by_site.count() <= 60 * 55 + 2 < whole.count()
+
+
+def test_symbols_of_a_table(spark):
+    """A long list is joined: no row of it comes to the driver and no literal is made of it."""
+    df = spark.createDataFrame([("AEM",), ("NEM",), ("NEM",), (None,)], "symbol string")
+    named = spark.createDataFrame([(" aem ",), ("\tnem\u00a0",), ("nem",), (None,)], "symbol string")
+    got = coverage.select_symbols(df, named)
+    assert sorted(r.symbol for r in got.collect()) == ["AEM", "NEM", "NEM"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, coverage.select_symbols(df, [" aem ", "\tnem\u00a0"]).collect()))
+
+
 def test_percent_ranks_in_slices(spark):
     """As the window has them, with ties, nulls, a day of one row and a day of one value; no window holds a whole day."""
     draw = random.Random(8)
