@@ -29,9 +29,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays, the one with the smallest id.
 
-    Near copies have sets of five-word shingles with a Jaccard similarity of 0.8 or more. Such texts differ in
-    some 10 of 64 SimHash bits, beyond any covering code of use, so candidates share a min-hash
-    bucket instead and every link is checked on the shingles (``orelode.llm.nearcopies``); the query ``op3_simhash`` has the anchors.
+    Near copies have sets of five-word shingles with a Jaccard similarity of 0.8 or more. Candidates are texts whose SimHash
+    fingerprints differ in at most 2 bits, by the anchors of ``op3_simhash``. Most near copies differ in
+    some 10 of 64 bits, beyond any covering code of use, so texts that share a min-hash
+    bucket are candidates as well, and every link is checked on the shingles (``orelode.llm.nearcopies``).
     Texts without words are one class. Of repeated rows one stays, of rows that tie that with the smallest hash of text, and a
     null id comes after all others.
     """

@@ -1,7 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles: banded min-hash for candidates, an exact check for links.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and banded min-hash for candidates, an exact check for links.
 
 Texts whose sets of shingles are at least ``LEAST`` alike are linked, and a class is what is
-linked directly or through others. Candidates share one of ``BANDS`` buckets, each a hash of
+linked directly or through others. Candidates are texts whose SimHash fingerprints (of all shingles, repeats included) differ in
+at most 2 bits, met at the anchors of ``orelode.llm.simhash``. Texts that are 0.8 alike differ in some 10 bits, so
+candidates are those too that share one of ``BANDS`` buckets, each a hash of
 ``ROWS`` min-hash values; two texts that are just 0.8 alike share none with a probability of
 (1 - 0.8^4)^32 = 5e-8. Of each min-hash value two bits are kept: of sets that are 0.8 alike 26 of the
 256 bits differ, give or take 6, so candidates with more than ``APART`` differing bits are left out (a loss of
@@ -27,7 +29,7 @@ from xxhash import xxh64_intdigest
 
 from orelode.llm.graph import star_forest
 from orelode.llm.shared import settle, temporary
-from orelode.llm.simhash import SEED, once_per, shingle_hashes
+from orelode.llm.simhash import SEED, links, once_per, print_of, shingle_hashes
 
 SHINGLE = 5
 LEAST = 0.8
@@ -47,7 +49,7 @@ _FACTOR = _DRAW.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1
 _BAND = _DRAW.integers(0, 1 << 63, (2, BANDS), np.uint64) | np.uint64(1)
 
 SIGNATURE = ["s0", "s1", "s2", "s3"]
-SKETCH = f"struct<set:long,size:int,buckets:array<long>,{','.join(f'{c}:long' for c in SIGNATURE)}>"
+SKETCH = f"struct<set:long,fp:long,size:int,buckets:array<long>,{','.join(f'{c}:long' for c in SIGNATURE)}>"
 
 
 def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -78,21 +80,23 @@ def signature_of(lowest: np.ndarray) -> np.ndarray:
 
 
 def sketch_of(text: Column, width: int) -> Column:
-    """``SKETCH``: a hash of the set of shingles (0: no words), its size, its buckets, its signature."""
+    """``SKETCH``: a hash of the set of shingles (0: no words), the fingerprint, the set's size, its buckets, its signature."""
 
     def sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            sets = [shingle_set(x.as_py(), width) for x in batch]
+            shingles = [shingle_hashes(x.as_py(), width) for x in batch]
+            sets = [np.unique(x) for x in shingles]
             lowest = [lowest_of(x) for x in sets]
             marks = np.array([signature_of(x) for x in lowest], np.uint64).reshape(-1, len(SIGNATURE)).view(np.int64)
             yield pa.StructArray.from_arrays([
                 pa.array(np.array([xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets], np.uint64).view(
                     np.int64), pa.int64()),
+                pa.array(np.array([print_of(x) for x in shingles], np.uint64).view(np.int64), pa.int64()),
                 pa.array([len(x) for x in sets], pa.int32()),
                 pa.array([buckets_of(y).view(np.int64) if len(x) else [] for x, y in zip(sets, lowest, strict=True)],
                          pa.list_(pa.int64())),
                 *(pa.array(np.ascontiguousarray(marks[:, k])) for k in range(len(SIGNATURE))),
-            ], ["set", "size", "buckets", *SIGNATURE])
+            ], ["set", "fp", "size", "buckets", *SIGNATURE])
 
     return F.arrow_udf(sketches, SKETCH)(text)
 
@@ -163,6 +167,16 @@ def _met(named: DataFrame, probes: DataFrame, each_once: Column, least: float) -
     return pairs.select(F.greatest("set", "a_set").alias("u"), F.least("set", "a_set").alias("v"))
 
 
+def by_prints(sketches: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v) of sets whose fingerprints differ in at most 2 bits, as stars around the smallest set of a fingerprint."""
+    held = settle(sketches.where("size > 0").select("fp", "set").distinct(), "prints")
+    lowest = settle(held.groupBy("fp").agg(F.min("set").alias("low")), "fingerprints")
+    same = held.join(lowest, "fp").where("set <> low").select(F.col("set").alias("x"), F.col("low").alias("y"))
+    a, b = (lowest.select(F.col("fp").alias(k), F.col("low").alias(n)) for k, n in (("a", "x"), ("b", "y")))
+    near = links(lowest.select("fp")).distinct().join(a, "a").join(b, "b").where("x <> y").select("x", "y")
+    return same.union(near).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+
+
 def forest_of(sketches: DataFrame, shelf_of, least: float = LEAST, rounds: int = ROUNDS, crowd: int = CROWD) -> DataFrame:
     """(u, v) for every set u but the smallest of its class, v being that one.
 
@@ -177,11 +191,13 @@ def forest_of(sketches: DataFrame, shelf_of, least: float = LEAST, rounds: int =
         own = met.groupBy("set").agg(F.sum("n").alias("known")).join(
             sketches.select("set", "size", *SIGNATURE).dropDuplicates(["set"]), "set")
         members = settle(met.drop("n").join(own, "set"), "members")
-        shelf = settle(shelf_of(members.select("set").distinct()), "shelf")
+        prints = settle(by_prints(sketches).distinct(), "near")
+        shelf = settle(shelf_of(members.select("set").union(prints.select("u")).union(prints.select("v")).distinct()), "shelf")
         middle = members.groupBy("bucket").agg(F.max(F.struct("known", "set", "size", *SIGNATURE)).alias("m")).select(
             "bucket", *(F.col(f"m.{c}").alias(f"a_{c}") for c in ("set", "size", *SIGNATURE)))
         first = members.join(middle, "bucket").where((F.col("set") != F.col("a_set")) & _may_be_alike(least))
-        forest = _links(first.select(F.greatest("set", "a_set").alias("u"), F.least("set", "a_set").alias("v")), shelf, None, least)
+        first = first.select(F.greatest("set", "a_set").alias("u"), F.least("set", "a_set").alias("v"))
+        forest = _links(prints.union(first), shelf, None, least)
         for k in range(rounds + 1):
             members = settle(_mixed(members.drop("root", "top"), forest), "mixed")
             if members.isEmpty():

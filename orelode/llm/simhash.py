@@ -48,7 +48,11 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None) -> int:
     """64-bit SimHash of the 3-word shingles of a text, repeats included; no words: 0."""
-    hashes = shingle_hashes(text, SHINGLE)
+    return print_of(shingle_hashes(text, SHINGLE))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """64-bit SimHash of shingles given by their hashes, repeats included; none: 0."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orelode.llm import nearcopies
@@ -73,3 +74,19 @@ def test_awkward_rows(awkward, no_docs):
     assert kept.columns == awkward.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 5, 6, 7, 8, 9]
     assert nearcopies.first_of_each(no_docs).count() == 0
+
+
+def test_fingerprints_give_candidates(spark):
+    """SimHash alone brings texts together: the same fingerprint, and fingerprints 2 bits apart."""
+    draw = random.Random(7)
+    words = [f"w{draw.randrange(10_000)}" for _ in range(3000)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(words[::-1]), " ".join([*words, *words]), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select("doc_id", nearcopies.sketch_of(F.col("text"), 5).alias("sketch")).select("doc_id", "sketch.*").collect()
+    sketches = spark.createDataFrame(rows).select("set", "fp", "size")
+    by_id = {r.doc_id: r for r in rows}
+    apart = {(a.set, b.set): ((a.fp ^ b.fp) & (1 << 64) - 1).bit_count() for a in rows for b in rows if a.size and b.size and a.set > b.set}
+    got = {(r.u, r.v) for r in nearcopies.by_prints(sketches).collect()}
+    assert got and all(apart[p] <= 2 for p in got)
+    reached = {frozenset(p) for p in got}
+    assert {frozenset(p) for p, bits in apart.items() if bits <= 2 and by_id[2].set not in p} and all(by_id[2].set not in p for p in reached)
