@@ -18,6 +18,8 @@ from orelode.session import settle, temporary
 
 BANDS = 21
 ROWS = 3
+#: Parities of a set's hashes, 64 in a column.
+MARKS = [f"m{k}" for k in range(8)]
 #: Parts of a histogram of hashes; classes of a bucket that send one member each in a round, and rounds.
 BINS = 16
 CROWD = 4
@@ -46,6 +48,31 @@ def overlap_bound(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
 
 
+def marks(hashes: DataFrame, names: list[str] = MARKS) -> DataFrame:
+    """(set, core, m0, m1, ...): how many of a set's hashes other sets hold too, and the parities of their numbers in classes.
+
+    ``hashes`` is distinct (set, h); ``names`` are of parities, 64 in each, a power of two. A hash that one set alone holds is never in common, so it is left out.
+    """
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    word = F.shiftright("h", 6).bitwiseAND(len(names) - 1)
+    odd = [F.coalesce(F.bit_xor(F.when(word == k, bit)), F.lit(0).cast("long")).alias(m) for k, m in enumerate(names)]
+    every = hashes.groupBy("set").agg(F.count("*").alias("core"), *odd)
+    alone = hashes.groupBy("h").agg(F.count("*").alias("n"), F.min("set").alias("set")).where("n = 1")
+    less = alone.groupBy("set").agg((-F.count("*")).alias("core"), *odd)
+    return every.union(less).groupBy("set").agg(F.sum("core").alias("core"), *(F.bit_xor(m).alias(m) for m in names))
+
+
+def shares_enough(least: float, names: list[str] = MARKS) -> Column:
+    """Whether a pair of sets, one with columns named ``a_``, can be ``least`` alike by size and ``marks``.
+
+    Each class whose parities differ has a hash that only one of the two holds, so no link is left out.
+    """
+    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"a_{m}"))) for m in names[1:]),
+                F.bit_count(F.col(names[0]).bitwiseXOR(F.col(f"a_{names[0]}"))))
+    both = F.col("core") + F.col("a_core") - apart  # twice what they have in common, at most
+    return both * (1 + least) >= 2 * least * (F.col("size") + F.col("a_size")) - 1e-6
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``links`` (u, v) reaches, by pointer jumping.
 

@@ -90,3 +90,26 @@ def test_fingerprints_give_candidates(spark):
     assert got and all(apart[p] <= 2 for p in got)
     reached = {frozenset(p) for p in got}
     assert {frozenset(p) for p, bits in apart.items() if bits <= 2 and by_id[2].set not in p} and all(by_id[2].set not in p for p in reached)
+
+
+def test_copies_below_the_threshold_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies that were each changed on their own are some 0.7 alike: none is linked, and few pairs are taken to the shingles."""
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    texts = {}
+    for i in range(80):
+        copy = list(base)
+        for at in draw.sample(range(0, 300, 6), 9):
+            copy[at] = f"x{i}y{at}"
+        texts[i] = " ".join(copy)
+    checked = []
+    links = nearcopies._links
+
+    def counted(pairs, *rest):
+        checked.append(pairs.distinct().count())
+        return links(pairs, *rest)
+
+    monkeypatch.setattr(nearcopies, "_links", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in nearcopies.first_of_each(docs).collect()} == kept_by_brute_force(texts)
+    assert sum(checked) < 4 * len(texts)
