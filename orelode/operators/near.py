@@ -2,14 +2,16 @@
 
 All of it are JVM expressions. Texts with the same set of shingles are one node. Candidates share
 one of ``BANDS`` buckets, each a hash of ``ROWS`` min-hash values: texts that are just 0.8 alike share none with a
-probability of (1 - 0.8^3)^21 = 3e-7. A bucket is never compared with itself: its members first meet its smallest one,
-then one member of each of its largest classes, and at last those outside the largest class meet the
-members of other classes whose size and histogram of hashes allow a link. So a large group of near copies costs as many
-comparisons as it has members, and no candidate is left out.
+probability of (1 - 0.8^3)^21 = 3e-7. A bucket is never compared with itself: its members first meet its middle, the one that
+shares most buckets with others, then one member of each of its largest classes, and at last those outside the largest class meet the
+members of other classes whose size and marks allow a link. So a large group of near copies costs as many
+comparisons as it has members, and no candidate is left out. Hashes of shingles are kept for sets that share a bucket alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,9 @@ BANDS = 21
 ROWS = 3
 #: Parities of a set's hashes, 64 in a column.
 MARKS = [f"m{k}" for k in range(8)]
-#: Parts of a histogram of hashes; classes of a bucket that send one member each in a round, and rounds.
-BINS = 16
+#: What a member of a bucket is judged by before it is compared.
+TRAITS = ["set", "size", "core", *MARKS]
+#: Classes of a bucket that send one member each in a round, and rounds.
 CROWD = 4
 ROUNDS = 2
 
@@ -39,13 +42,13 @@ def buckets(hashes: Column) -> Column:
     return F.array(*(F.xxhash64(F.lit(band), *(_lowest(hashes, band * ROWS + row) for row in range(ROWS))) for band in range(BANDS)))
 
 
-def _lowest(hashes: Column, seed: int) -> Column:
-    return F.array_min(F.transform(hashes, lambda h: F.xxhash64(F.lit(seed), h)))
+def _sketch(hashes: Column) -> Column:
+    return F.when(hashes.isNotNull(), F.struct(
+        F.xxhash64(hashes).alias("set"), F.size(hashes).alias("size"), buckets(hashes).alias("buckets")))
 
 
-def overlap_bound(a: Column, b: Column) -> Column:
-    """No fewer than the hashes two sets have in common, from their histograms."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+def _lowest(hashes: Column, seed: int) -> Column:
+    return F.array_min(F.transform(hashes, lambda h: F.xxhash64(F.lit(seed), h)))
 
 
 def marks(hashes: DataFrame, names: list[str] = MARKS) -> DataFrame:
@@ -110,28 +113,33 @@ def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _can_link(least: float) -> Column:
-    """Whether sizes and histograms of two members allow a link."""
-    most, fewest = F.greatest("size", "a_size"), F.least("size", "a_size")
-    return (fewest >= least * most) & (overlap_bound(F.col("bins"), F.col("a_bins")) * (1 + least)
-                                       >= least * (F.col("size") + F.col("a_size")))
+    """Whether sizes and marks of two members allow a link."""
+    return (F.least("size", "a_size") >= least * F.greatest("size", "a_size") - 1e-6) & shares_enough(least)
+
 
+def set_classes(sketches: DataFrame, shelf_of: Callable[[DataFrame], DataFrame], least: float = 0.8) -> DataFrame:
+    """(set, root) for the sets of ``sketches`` (set, size, buckets; distinct) that are linked with another, ``root`` the smallest of the class.
 
-def set_classes(sets: DataFrame, least: float = 0.8) -> DataFrame:
-    """(set, root) for the sets of ``sets`` (set, hashes; distinct) that are linked with another, ``root`` the smallest of the class."""
-    spark = sets.sparkSession
+    ``shelf_of`` gives (set, hashes), one row for each set of a table of sets; only sets that share a bucket are asked for.
+    """
+    spark = sketches.sparkSession
     with temporary(spark) as block:
-        bins = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.size(
-            F.filter("hashes", lambda h: F.pmod(h, F.lit(BINS)) == b)))
-        every = settle(sets.select("set", F.size("hashes").alias("size"), F.explode(buckets(F.col("hashes"))).alias("bucket")), "buckets")
-        shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("set").alias("low")).where("n > 1")
-        members = every.join(shared.select("bucket", "low"), "bucket")
-        histograms = sets.select("set", bins.alias("bins"))
-        members = settle(members.join(histograms, "set"), "members")
-        low = members.select(F.col("set").alias("low"), F.col("size").alias("a_size"), F.col("bins").alias("a_bins")).dropDuplicates(["low"])
-        first = members.where("set <> low").select("set", "low", "size", "bins").distinct().join(low, "low").where(_can_link(least))
-        links = settle(_checked(first.select(F.col("set").alias("u"), F.col("low").alias("v")), sets, least), "links")
+        every = settle(sketches.select("set", "size", F.explode("buckets").alias("bucket")), "buckets")
+        shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = settle(every.join(shared, "bucket"), "shared")
+        sets = settle(shelf_of(met.select("set").distinct()), "shelf")
+        # the text that copies were made from shares more buckets with them than they share with one another
+        own = met.groupBy("set").agg(F.sum("n").alias("known"), F.first("size").alias("size")).join(
+            marks(sets.select("set", F.explode("hashes").alias("h"))), "set")
+        # a set of which too little is anywhere else is linked with none
+        own = own.where(F.col("core") >= least * F.col("size") - 1e-6)
+        members = settle(met.select("set", "bucket").join(own, "set"), "members")
+        middle = members.groupBy("bucket").agg(F.max(F.struct("known", *TRAITS)).alias("m")).select(
+            "bucket", *(F.col(f"m.{c}").alias(f"a_{c}") for c in TRAITS))
+        first = members.join(middle, "bucket").where((F.col("set") != F.col("a_set")) & _can_link(least))
+        first = first.select(F.greatest("set", "a_set").alias("u"), F.least("set", "a_set").alias("v"))
+        links = settle(_checked(first, sets, least), "links")
         roots = components(links)
-        members = members.drop("low")
         for k in range(ROUNDS + 1):
             named = members.drop("root", "top").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn(
                 "root", F.coalesce("root", "set"))
@@ -142,14 +150,14 @@ def set_classes(sets: DataFrame, least: float = 0.8) -> DataFrame:
                 break
             if k < ROUNDS:
                 some = members.groupBy("bucket", "root").agg(
-                    F.count(F.lit(1)).alias("own"), F.min(F.struct("set", "size", "bins")).alias("first"))
+                    F.count(F.lit(1)).alias("own"), F.max(F.struct("known", *TRAITS)).alias("first"))
                 place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("own"), "root"))
                 probes = some.withColumn("place", place).where(F.col("place") <= CROWD).select("bucket", "root", "first.*")
                 once_each = F.lit(True)
             else:
                 probes = members.where("root <> top")
                 once_each = (F.col("root") == F.col("top")) | (F.col("a_set") < F.col("set"))
-            probes = probes.select("bucket", *(F.col(c).alias(f"a_{c}") for c in ("set", "size", "bins", "root")))
+            probes = probes.select("bucket", *(F.col(c).alias(f"a_{c}") for c in ("root", *TRAITS)))
             pairs = members.join(probes, "bucket").where((F.col("root") != F.col("a_root")) & once_each & _can_link(least))
             pairs = pairs.select(F.greatest("set", "a_set").alias("u"), F.least("set", "a_set").alias("v"))
             found = _checked(pairs, sets, least)
@@ -163,14 +171,22 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     Near copies have sets of ``width``-word shingles with a Jaccard similarity of ``least`` or more. Texts without words,
     null or not, are in a class of their own; ``doc_id`` must be a key.
     """
-    hashed = settle(docs.select("doc_id", shingles(F.col("text"), width).alias("hashes")).withColumn(
-        "set", F.xxhash64("hashes")), "shingles")
-    sets = settle(hashed.where("hashes is not null").groupBy("set").agg(
-        F.first("hashes").alias("hashes"), F.min("doc_id").alias("first")), "sets")
-    classes = set_classes(sets.select("set", "hashes"), least)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
+    held = texts.select("doc_id", "copy", once(shingles(F.col("text"), width), _sketch).alias("sketch"))
+    rows = settle(held.select("doc_id", "copy", "sketch.*"), "sketches")
+    sets = settle(rows.where("set is not null").groupBy("set").agg(
+        F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "copy")).alias("key"),
+        F.first("size").alias("size"), F.first("buckets").alias("buckets")), "sets")
+
+    def shelf_of(some: DataFrame) -> DataFrame:
+        owner = sets.join(some, "set", "left_semi").select(
+            "set", F.col("key.doc_id").alias("own_id"), F.col("key.copy").alias("own_copy"))
+        found = texts.join(owner, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("copy") == F.col("own_copy")))
+        return found.select("set", shingles(F.col("text"), width).alias("hashes")).dropDuplicates(["set"])
+
+    classes = set_classes(sets.select("set", "size", "buckets"), shelf_of, least)
     named = settle(sets.select("set", "first").join(classes, "set", "left").withColumn("root", F.coalesce("root", "set")), "named")
     lowest = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    whole = settle(named.join(lowest, "root").select("set", "class_id"), "lowest")
-    own = F.when(F.col("hashes").isNotNull(), F.col("set"))
-    rows = hashed.select("doc_id", own.alias("own")).join(whole, F.col("own") == F.col("set"), "left")
-    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    whole = settle(named.join(lowest, "root").select(F.col("set").alias("own"), "class_id"), "lowest")
+    return rows.select("doc_id", "set").join(whole, F.col("set") == F.col("own"), "left").select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -60,3 +60,25 @@ def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(50)] + [(100, 200 + k) for k in range(30)] + [(7, 7), (300, 299)]
     got = {r.node: r.root for r in near.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {k: 0 for k in range(51)} | {k: 100 for k in (100, *range(200, 230))} | {300: 299, 299: 299}
+
+
+def test_copies_below_the_threshold_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies that were each changed on their own are some 0.7 alike: none is linked, and few pairs are taken to the shingles."""
+    draw = random.Random(3)
+    texts = {}
+    for i in range(60):
+        copy = [f"w{k}" for k in range(300)]
+        for at in draw.sample(range(0, 300, 6), 9):
+            copy[at] = f"x{i}y{at}"
+        texts[i] = " ".join(copy)
+    taken = []
+    checked = near._checked
+
+    def counted(pairs, *rest):
+        taken.append(pairs.distinct().count())
+        return checked(pairs, *rest)
+
+    monkeypatch.setattr(near, "_checked", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near.near_copies(docs).collect()} == classes(texts)
+    assert sum(taken) < 4 * len(texts)
