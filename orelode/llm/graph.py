@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.shared import settle, temporary
+from orelode.llm.shared import settle, temporary, tidy
 
 
 def _with_smallest(edges: DataFrame) -> DataFrame:
@@ -42,7 +42,8 @@ def star_forest(links: DataFrame) -> DataFrame:
     edges = settle(edges, "links")
     seen = None
     while True:
-        state = edges.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(20, 0)))")).first()
+        with tidy(edges.sparkSession):
+            state = edges.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(20, 0)))")).first()
         if state[0] == 0 or state == seen:
             return edges
         seen = state

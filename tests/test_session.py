@@ -1,8 +1,11 @@
 import os
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from orelode.session import settle, temporary, work_folder
+from orelode.llm.graph import star_forest
+from orelode.session import CLEANUP_CONF, settle, temporary, tidy, work_folder
 
 
 def folder_of(df):
@@ -29,3 +32,46 @@ def test_a_block_that_fails_deletes_its_tables_too(spark):
         work_folder(spark, "never written")
         raise ZeroDivisionError
     assert not os.path.exists(gone)
+
+
+def shuffle_files(spark):
+    """Names of the shuffle files that the session has on disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+
+def left_over(spark, before):
+    """Files beyond ``before`` that are still there after a while; deleting goes on beside the job."""
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            return set()
+        time.sleep(0.1)
+    return shuffle_files(spark) - before
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    counts = settle(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert not left_over(spark, before)
+    assert counts.count() == 7
+
+
+def test_forests_leave_no_shuffle_files(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "u long, v long")
+    before = shuffle_files(spark)
+    forest = star_forest(links)
+    assert not left_over(spark, before)
+    assert sorted(map(tuple, forest.collect())) == [(2, 1), (3, 1), (6, 5)]
+
+
+@pytest.mark.parametrize("own", [None, "true", "false"])
+def test_a_tidy_block_gives_the_session_its_setting_back(spark, own):
+    if own:
+        spark.conf.set(CLEANUP_CONF, own)
+    try:
+        with pytest.raises(ZeroDivisionError), tidy(spark):
+            assert spark.conf.get(CLEANUP_CONF) == "true"
+            raise ZeroDivisionError
+        assert spark.conf.get(CLEANUP_CONF, None) == own
+    finally:
+        spark.conf.unset(CLEANUP_CONF)
