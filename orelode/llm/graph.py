@@ -14,18 +14,33 @@ def _with_smallest(edges: DataFrame) -> DataFrame:
     return edges.join(smallest, F.col("u") == F.col("k")).select("u", "v", "m")
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """Every edge (u, v) and (v, u), from one reading of the edges."""
+    ways = F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    return edges.select(F.explode(ways).alias("way")).select("way.u", "way.v")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Ties every larger neighbour of a node to the smallest node around it."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = _with_smallest(both).where("v > u")
+    near = _with_smallest(_both_ways(edges)).where("v > u")
     return near.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Ties a node and its smaller neighbours to the smallest of them."""
-    near = _with_smallest(edges)
-    tied = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return tied.union(near.select("u", F.col("m").alias("v"))).distinct()
+    tied = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+    near = _with_smallest(edges).select(F.explode(tied).alias("way")).select("way.u", "way.v")
+    return near.where("u <> v").distinct()
+
+
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether distinct edges (u, v), v the smaller, are stars: each u has one, and none of them is a v."""
+    ways = F.array(*(F.struct(F.col(c).alias("node"), F.lit(c == "u").cast("int").alias("below"), F.lit(c == "v").cast("int").alias("above"))
+                     for c in "uv"))
+    ends = edges.select(F.explode(ways).alias("end")).groupBy("end.node").agg(
+        (F.sum("end.below") + F.max("end.above")).alias("ties"))
+    with tidy(edges.sparkSession):
+        return (ends.agg(F.max("ties")).first()[0] or 0) <= 1
 
 
 def star_forest(links: DataFrame) -> DataFrame:
@@ -33,19 +48,14 @@ def star_forest(links: DataFrame) -> DataFrame:
 
     ``links`` has two columns of one ordered type; direction, repeats and loops do not
     matter, links with a null end are left out. Alternates large and small stars, which
-    keep the components and end in stars, until a round changes nothing; the rounds grow
-    with the logarithm of the longest chain. Each round is a written table.
+    keep the components and end in stars, until the edges are stars; links that are stars
+    already take no round. The rounds grow with the logarithm of the longest chain. Each round is a written table.
     """
     a, b = (F.col(c) for c in links.columns)
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
         a.isNotNull() & b.isNotNull() & (a != b)).distinct()
     edges = settle(edges, "links")
-    seen = None
-    while True:
-        with tidy(edges.sparkSession):
-            state = edges.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(20, 0)))")).first()
-        if state[0] == 0 or state == seen:
-            return edges
-        seen = state
+    while not _is_forest(edges):
         with temporary(edges.sparkSession) as block:
             edges = block.result(_small_star(_large_star(edges)), "links")
+    return edges

@@ -16,7 +16,7 @@ Texts with the same set are one node. First every set meets the middle of each o
 shares most buckets with others. What
 then is in one class already is never compared again: ``ROUNDS`` times the ``CROWD`` largest classes of a bucket send one
 member each to meet all members of other classes, and at last every member outside the largest class of its
-bucket meets all of other classes. So a large group of near copies is joined without making its pairs, and no
+bucket meets all of other classes. A round without a new link is followed by the last one. So a large group of near copies is joined without making its pairs, and no
 candidate is left out.
 """
 
@@ -152,12 +152,16 @@ def _may_be_alike(least: float) -> Column:
 
 
 def _links(pairs: DataFrame, shelf: DataFrame, forest: DataFrame | None, least: float) -> DataFrame:
-    """The forest (u, v) with those candidate pairs (u, v) that are ``least`` alike."""
+    """The forest (u, v) with those candidate pairs (u, v) that are ``least`` alike; ``forest`` itself if there are none."""
     with temporary(pairs.sparkSession) as block:
         held = settle(pairs.distinct(), "pairs")
+        if forest and held.isEmpty():
+            return forest
         left, right = (shelf.select(F.col("set").alias(k), F.col("hashes").alias(f"{k}_hashes")) for k in "uv")
         both = held.join(left, "u").join(right, "v")
-        found = both.where(similarity(F.col("u_hashes"), F.col("v_hashes")) >= least).select("u", "v")
+        found = settle(both.where(similarity(F.col("u_hashes"), F.col("v_hashes")) >= least).select("u", "v"), "found")
+        if forest and found.isEmpty():
+            return forest
         return block.result(star_forest(forest.union(found) if forest else found), "forest")
 
 
@@ -219,16 +223,21 @@ def forest_of(sketches: DataFrame, shelf_of, least: float = LEAST, rounds: int =
         first = members.join(middle, "bucket").where((F.col("set") != F.col("a_set")) & _may_be_alike(least))
         first = first.select(F.greatest("set", "a_set").alias("u"), F.least("set", "a_set").alias("v"))
         forest = _links(prints.union(first), shelf, None, least)
-        for k in range(rounds + 1):
-            members = settle(_mixed(members.drop("root", "top"), forest), "mixed")
-            if members.isEmpty():
-                break
+        k, changed = 0, True
+        while k <= rounds:
+            if changed:
+                members = settle(_mixed(members.drop("root", "top"), forest), "mixed")
+                if members.isEmpty():
+                    break
             if k < rounds:
                 pairs = _met(members, _some(members, crowd), F.lit(True), least)
             else:  # whoever is outside the largest class meets all of other classes
                 once = (F.col("root") == F.col("top")) | (F.col("a_set") < F.col("set"))
                 pairs = _met(members, members.where("root <> top"), once, least)
-            forest = _links(pairs, shelf, forest, least)
+            after = _links(pairs, shelf, forest, least)
+            changed, forest = after is not forest, after
+            # single members that found no link would meet the same members again: the last round is next
+            k = k + 1 if changed or k == rounds else rounds
         return block.result(forest, "forest")
 
 

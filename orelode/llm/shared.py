@@ -56,7 +56,8 @@ def summed(partials: DataFrame, width: int) -> np.ndarray:
     """Sum over all partitions of the matrices that ``emitted`` made of each, as one matrix.
 
     Rows with the same number are added in two steps, so that no task gathers the
-    rows of all partitions. The result has a fixed size, whatever the input.
+    rows of all partitions. The result has a fixed size, whatever the input; what was shuffled for it,
+    a matrix for each partition, is deleted.
     """
 
     def total(key: tuple, table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,6 +69,7 @@ def summed(partials: DataFrame, width: int) -> np.ndarray:
             "block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()),
             "data": pa.array([acc.tobytes()], pa.binary())})
 
-    first = partials.groupBy("block", (F.col("part") % 32).alias("slice")).applyInArrow(total, BLOCKS)
-    rows = first.groupBy("block").applyInArrow(total, BLOCKS).orderBy("block").collect()
+    with tidy(partials.sparkSession):
+        first = partials.groupBy("block", (F.col("part") % 32).alias("slice")).applyInArrow(total, BLOCKS)
+        rows = first.groupBy("block").applyInArrow(total, BLOCKS).orderBy("block").collect()
     return np.array([np.frombuffer(r["data"], np.float64) for r in rows]).reshape(-1, width)

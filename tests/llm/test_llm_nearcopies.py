@@ -113,3 +113,26 @@ def test_copies_below_the_threshold_are_not_compared_pair_by_pair(spark, monkeyp
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id for r in nearcopies.first_of_each(docs).collect()} == kept_by_brute_force(texts)
     assert sum(checked) < 4 * len(texts)
+
+
+def test_a_round_without_a_link_is_not_repeated(spark, monkeypatch):
+    """Copies that share buckets and no link: the middles, one round of single members, then the last round."""
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    texts = {}
+    for i in range(40):
+        copy = list(base)
+        for at in draw.sample(range(0, 300, 6), 9):
+            copy[at] = f"x{i}y{at}"
+        texts[i] = " ".join(copy)
+    rounds = []
+    links = nearcopies._links
+
+    def counted(*args):
+        rounds.append(args)
+        return links(*args)
+
+    monkeypatch.setattr(nearcopies, "_links", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in nearcopies.first_of_each(docs, rounds=5).collect()} == kept_by_brute_force(texts)
+    assert len(rounds) <= 3

@@ -1,10 +1,15 @@
 import os
+import random
 import time
 
+import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from orelode.llm import graph
 from orelode.llm.graph import star_forest
+from orelode.llm.shared import BLOCKS, emitted, summed
 from orelode.session import CLEANUP_CONF, settle, temporary, tidy, work_folder
 
 
@@ -75,3 +80,36 @@ def test_a_tidy_block_gives_the_session_its_setting_back(spark, own):
         assert spark.conf.get(CLEANUP_CONF, None) == own
     finally:
         spark.conf.unset(CLEANUP_CONF)
+
+
+def test_summed_matrices_leave_no_shuffle_files(spark):
+    def ones(batches):
+        rows = sum(batch.num_rows for batch in batches)
+        yield emitted(np.full((2, 3), float(rows)), TaskContext.get().partitionId())
+
+    before = shuffle_files(spark)
+    total = summed(spark.range(100, numPartitions=40).mapInArrow(ones, BLOCKS), 3)
+    assert not left_over(spark, before)
+    assert total.tolist() == [[100.0] * 3] * 2
+
+
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    def no_round(edges):
+        raise AssertionError("a round")
+
+    monkeypatch.setattr(graph, "_large_star", no_round)
+    links = spark.createDataFrame([(3, 1), (1, 2), (1, 3), (9, 8), (7, 7), (None, 4)], "a long, b long")
+    assert sorted(map(tuple, star_forest(links).collect())) == [(2, 1), (3, 1), (9, 8)]
+    assert star_forest(links.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("links", [
+    [(1, 3), (2, 3)], [(3, 2), (2, 1)], [(5, 4), (3, 4), (3, 2), (1, 2), (9, 5)], [(k, k + 1) for k in range(20)],
+    [(40, k) for k in range(30)], [(random.Random(k).randrange(30), k + 1) for k in range(60)]])
+def test_forests_name_the_smallest_node_of_each_component(spark, links):
+    low = {n: n for link in links for n in link}
+    for _ in low:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    got = star_forest(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((n, v) for n, v in low.items() if n != v)
