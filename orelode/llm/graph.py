@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.shared import settle, temporary, tidy
+from orelode.llm.shared import settle, spread, temporary, tidy
 
 
-def _with_smallest(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with ``m``, the smallest v of their u: counted in the map tasks, joined back by u."""
+def _with_smallest(edges: DataFrame, rows: int | None) -> DataFrame:
+    """Edges (u, v), some ``rows`` of them, with ``m``, the smallest v of their u: counted in the map tasks, joined back by u."""
     smallest = edges.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-    return edges.join(smallest, F.col("u") == F.col("k")).select("u", "v", "m")
+    return edges.join(spread(smallest, rows), F.col("u") == F.col("k")).select("u", "v", "m")
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -20,27 +20,28 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(ways).alias("way")).select("way.u", "way.v")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Ties every larger neighbour of a node to the smallest node around it."""
-    near = _with_smallest(_both_ways(edges)).where("v > u")
+    near = _with_smallest(_both_ways(edges), rows).where("v > u")
     return near.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Ties a node and its smaller neighbours to the smallest of them."""
     tied = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
-    near = _with_smallest(edges).select(F.explode(tied).alias("way")).select("way.u", "way.v")
+    near = _with_smallest(edges, rows).select(F.explode(tied).alias("way")).select("way.u", "way.v")
     return near.where("u <> v").distinct()
 
 
-def _is_forest(edges: DataFrame) -> bool:
-    """Whether distinct edges (u, v), v the smaller, are stars: each u has one, and none of them is a v."""
+def _shape(edges: DataFrame) -> tuple[bool, int]:
+    """Whether distinct edges (u, v), v the smaller, are stars: each u has one, and none of them is a v; and their number."""
     ways = F.array(*(F.struct(F.col(c).alias("node"), F.lit(c == "u").cast("int").alias("below"), F.lit(c == "v").cast("int").alias("above"))
                      for c in "uv"))
     ends = edges.select(F.explode(ways).alias("end")).groupBy("end.node").agg(
-        (F.sum("end.below") + F.max("end.above")).alias("ties"))
+        (F.sum("end.below") + F.max("end.above")).alias("ties"), F.sum("end.below").alias("below"))
     with tidy(edges.sparkSession):
-        return (ends.agg(F.max("ties")).first()[0] or 0) <= 1
+        ties, rows = ends.agg(F.max("ties"), F.sum("below")).first()
+    return (ties or 0) <= 1, rows or 0
 
 
 def star_forest(links: DataFrame) -> DataFrame:
@@ -55,7 +56,9 @@ def star_forest(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
         a.isNotNull() & b.isNotNull() & (a != b)).distinct()
     edges = settle(edges, "links")
-    while not _is_forest(edges):
+    while True:
+        stars, rows = _shape(edges)
+        if stars:
+            return edges
         with temporary(edges.sparkSession) as block:
-            edges = block.result(_small_star(_large_star(edges)), "links")
-    return edges
+            edges = block.result(_small_star(_large_star(edges, rows), rows), "links")

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import orelode
-from orelode.session import settle, temporary, tidy
+from orelode.session import settle, spread, temporary, tidy
 
-__all__ = ["BLOCKS", "emitted", "prepare", "remainder", "settle", "summed", "temporary", "tidy"]
+__all__ = ["BLOCKS", "emitted", "prepare", "remainder", "settle", "spread", "summed", "temporary", "tidy"]
 
 #: Texts that go to a Python worker at once; bounds its memory whatever the length of the table.
 BATCH_ROWS = 250

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from orelode.llm.graph import star_forest
-from orelode.llm.shared import settle
+from orelode.llm.shared import settle, spread
 
 SHINGLE = 3
 SEED = 42
@@ -107,20 +107,21 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, b) so that fingerprints at most ``THRESHOLD`` bits apart are connected: ``prints`` has distinct ``fp``.
 
     Around anchors with at most ``crowd`` residents every pair is a link of its own; around
-    hot ones links may run through the smallest of those that share a point.
+    hot ones links may run through the smallest of those that share a point. A fingerprint has 32 visits and 65 points,
+    of which Spark's size of the table knows nothing, so neither is ever broadcast.
     """
     homes = _at_anchors(prints, 1)
     visits = _at_anchors(prints, 2)
     hot = settle(homes.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor"), "anchors")
     pairs = homes.join(hot, "anchor", "left_anti").select("anchor", F.col("fp").alias("a")).join(
-        visits.select("anchor", F.col("fp").alias("b")), "anchor").where(
+        spread(visits.select("anchor", F.col("fp").alias("b"))), "anchor").where(
         (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD))
     around = visits.join(hot, "anchor", "left_semi").select("fp").distinct()
     ball = F.array(F.lit(0).cast("long"), *(F.expr(f"shiftleft(1L, {i})") for i in range(64)))
     points = around.select("fp", F.explode(ball).alias("flip")).select(
         "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     smallest = points.groupBy(F.col("point").alias("p")).agg(F.min("fp").alias("b"), F.count("*").alias("n"))
-    stars = points.join(smallest.where("n > 1"), F.col("point") == F.col("p")).where("fp <> b")
+    stars = points.join(spread(smallest.where("n > 1")), F.col("point") == F.col("p")).where("fp <> b")
     return pairs.select("a", "b").union(stars.select(F.col("fp").alias("a"), "b"))
 
 

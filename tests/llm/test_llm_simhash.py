@@ -1,10 +1,12 @@
 import random
+import re
 
 import pytest
 import xxhash
 
 from orelode.llm import simhash
-from orelode.llm.graph import star_forest
+from orelode.llm.graph import _large_star, _small_star, star_forest
+from orelode.llm.shared import settle
 
 
 def plain_print(text):
@@ -90,6 +92,21 @@ def test_links_give_all_components(spark, seed, crowd, monkeypatch):
     assert got == {signed(p): lowest[want[p]] for p in points}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_rows_are_never_broadcast(spark):
+    """Spark takes the 32 visits and 65 points of a fingerprint for one row, and would send all of a short table through the driver."""
+    prints = settle(spark.range(2000).selectExpr("xxhash64(id) AS fp"), "prints")
+    found = simhash.links(prints)
+    assert "Generate" in plan_of(found) and not re.search("BroadcastHashJoin .*Inner", plan_of(found))
+    edges = settle(spark.range(2000).selectExpr("id + 1 AS u", "id AS v"), "edges")
+    for stars in (_large_star(edges), _small_star(edges)):
+        assert "SortMergeJoin" in plan_of(stars) and "BroadcastHashJoin" not in plan_of(stars)
+    assert "BroadcastHashJoin" in plan_of(_large_star(edges, 2000))
+
+
 def test_table_equals_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     prints = {r.doc_id: plain_print(r.text) for r in docs.collect()}
