@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from orelode.llm.graph import star_forest
-from orelode.llm.shared import settle, temporary
+from orelode.llm.shared import settle, spread, temporary
 from orelode.llm.simhash import SEED, links, once_per, print_of, shingle_hashes
 from orelode.operators.near import marks, shares_enough
 
@@ -165,13 +165,13 @@ def _links(pairs: DataFrame, shelf: DataFrame, forest: DataFrame | None, least:
         return block.result(star_forest(forest.union(found) if forest else found), "forest")
 
 
-def _mixed(members: DataFrame, forest: DataFrame) -> DataFrame:
-    """Members of the buckets that have more than one class, with their class ``root`` and the largest class ``top`` of the bucket."""
+def _mixed(members: DataFrame, forest: DataFrame, rows: int | None = None) -> DataFrame:
+    """Of ``members``, at most ``rows``, those of the buckets that have more than one class, with their class ``root`` and the largest class ``top`` of the bucket."""
     roots = forest.select(F.col("u").alias("set"), F.col("v").alias("other"))
     named = members.join(roots, "set", "left").withColumn("root", F.coalesce("other", "set")).drop("other")
     classes = named.groupBy("bucket", "root").agg(F.count("*").alias("own"))
     largest = classes.groupBy("bucket").agg(F.max(F.struct("own", "root")).alias("top"), F.count("*").alias("classes"))
-    return named.join(largest.where("classes > 1").select("bucket", F.col("top.root").alias("top")), "bucket")
+    return named.join(spread(largest.where("classes > 1").select("bucket", F.col("top.root").alias("top")), rows), "bucket")
 
 
 def _some(named: DataFrame, crowd: int) -> DataFrame:
@@ -182,10 +182,10 @@ def _some(named: DataFrame, crowd: int) -> DataFrame:
     return classes.withColumn("place", place).where(F.col("place") <= crowd).select("bucket", "root", "first.*")
 
 
-def _met(named: DataFrame, probes: DataFrame, each_once: Column, least: float) -> DataFrame:
-    """Candidate pairs (u, v): members with the probes of their bucket that are of other classes."""
+def _met(named: DataFrame, probes: DataFrame, each_once: Column, least: float, rows: int | None = None) -> DataFrame:
+    """Candidate pairs (u, v): members, at most ``rows``, with the probes of their bucket that are of other classes."""
     a = probes.select("bucket", *(F.col(c).alias(f"a_{c}") for c in ("root", *TRAITS)))
-    pairs = named.join(a, "bucket").where((F.col("root") != F.col("a_root")) & each_once & _may_be_alike(least))
+    pairs = named.join(spread(a, rows), "bucket").where((F.col("root") != F.col("a_root")) & each_once & _may_be_alike(least))
     return pairs.select(F.greatest("set", "a_set").alias("u"), F.least("set", "a_set").alias("v"))
 
 
@@ -220,20 +220,22 @@ def forest_of(sketches: DataFrame, shelf_of, least: float = LEAST, rounds: int =
         members = settle(met.drop("n").join(own, "set"), "members")
         middle = members.groupBy("bucket").agg(F.max(F.struct("known", *TRAITS)).alias("m")).select(
             "bucket", *(F.col(f"m.{c}").alias(f"a_{c}") for c in TRAITS))
-        first = members.join(middle, "bucket").where((F.col("set") != F.col("a_set")) & _may_be_alike(least))
+        first = members.join(spread(middle), "bucket").where((F.col("set") != F.col("a_set")) & _may_be_alike(least))
         first = first.select(F.greatest("set", "a_set").alias("u"), F.least("set", "a_set").alias("v"))
         forest = _links(prints.union(first), shelf, None, least)
+        many = None
         k, changed = 0, True
         while k <= rounds:
             if changed:
-                members = settle(_mixed(members.drop("root", "top"), forest), "mixed")
-                if members.isEmpty():
+                members = settle(_mixed(members.drop("root", "top"), forest, many), "mixed")
+                many = members.count()
+                if not many:
                     break
             if k < rounds:
-                pairs = _met(members, _some(members, crowd), F.lit(True), least)
+                pairs = _met(members, _some(members, crowd), F.lit(True), least, many)
             else:  # whoever is outside the largest class meets all of other classes
                 once = (F.col("root") == F.col("top")) | (F.col("a_set") < F.col("set"))
-                pairs = _met(members, members.where("root <> top"), once, least)
+                pairs = _met(members, members.where("root <> top"), once, least, many)
             after = _links(pairs, shelf, forest, least)
             changed, forest = after is not forest, after
             # single members that found no link would meet the same members again: the last round is next

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from orelode import session
 from orelode.llm import nearcopies
 
 
@@ -136,3 +137,23 @@ def test_a_round_without_a_link_is_not_repeated(spark, monkeypatch):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id for r in nearcopies.first_of_each(docs, rounds=5).collect()} == kept_by_brute_force(texts)
     assert len(rounds) <= 3
+
+
+def test_members_are_never_broadcast(spark, monkeypatch):
+    """Members repeat the traits of their set, so their files are far smaller than their rows."""
+    plans = {}
+
+    def settled(df, name, f=nearcopies.settle):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return f(df, name)
+
+    monkeypatch.setattr(nearcopies, "settle", settled)
+    monkeypatch.setattr(session, "FEW", 0)
+    base = [f"w{k}" for k in range(200)]
+    copies = [" ".join([*base[:k], f"x{k}", *base[k + 1:]]) for k in range(0, 200, 5)]
+    docs = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")
+    assert [r.doc_id for r in nearcopies.first_of_each(docs).collect()] == [0]
+    pairs = [x for x in plans["pairs"] + plans["mixed"] if "bucket" in x]
+    assert len(pairs) >= 2
+    for plan in pairs:
+        assert not [x for x in plan.splitlines() if "BroadcastHashJoin [bucket" in x]
