@@ -123,6 +123,59 @@ def test_portfolio(spark):
     assert status == {"AA": ("found", 2), "BB": ("not_found", 0), "CC": ("failed", 0), "DD": ("not_found", 0)}
 
 
+def shuffled_columns(df):
+    """(partitioning, columns) of each shuffle in a plan."""
+    open_, out = [df._jdf.queryExecution().executedPlan()], []
+    while open_:
+        node = open_.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            open_.append(node.inputPlan())
+            continue
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            out.append((node.outputPartitioning().toString(), node.output().toString()))
+        open_ += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_texts_are_not_shuffled_for_each_company(spark, monkeypatch):
+    """Sixty companies of one site get the texts of its blocks in the last join; pages that are there twice add no row."""
+    from orelode.plans import portfolio
+
+    plans = []
+
+    def settled(df, name, f=portfolio.settle):
+        plans.append((name, shuffled_columns(df)))
+        return f(df, name)
+
+    monkeypatch.setattr(portfolio, "settle", settled)
+    names = [f"S{i:02d}" for i in range(60)]
+    companies = spark.createDataFrame(
+        [(s, s + " Inc", s, "gold", "producer") for s in [*names, "T", "T", "U"]] + [(None, "N", "N", "gold", "producer")],
+        "symbol string, company_name string, short_name string, metal string, company_type string")
+    curated = spark.createDataFrame([(s, "https://www.aa.com/") for s in names] + [("T", "https://none.com/")], "symbol string, url string")
+    deep = CARD.format("Deep")
+    pages = spark.createDataFrame([
+        ("https://www.aa.com/", page("AA", '<a href="/hope">Hope gold mine</a><a href="/deep">Deep project</a>'))] + 2 * [
+        ("https://www.aa.com/hope", page("Hope", CARD.format("Hope") + CARD.format("Other"))), ("https://www.aa.com/deep", page("Deep", deep))] + [
+        ("https://www.aa.com/deep#x", page("Deep", deep.replace("</p>", " It has more words than the other page has.</p>")))],
+        "url string, html string")
+    none = spark.createDataFrame([], "symbol string, pos int, path string")
+    args = companies, curated, curated.limit(0), pages, none, none, AT
+    got = project_portfolio(*args)
+    rows = [r.asDict() for r in got.collect()]
+    found = [(r["symbol"], r["project_name"]) for r in rows if r["status_code"] == "found"]
+    assert sorted(found) == sorted((s, f"{n} Mine") for s in names for n in ("Hope", "Other", "Deep"))
+    assert all("more words" in r["evidence_text"] for r in rows if r["project_name"] == "Deep Mine")
+    assert sorted(str(r["symbol"]) for r in rows if r["status_code"] != "found") == ["None", "T", "T", "U"]
+    assert all(r["evidence_text"] == r["project_url"][:0] for r in rows if r["symbol"] == "U")
+    moved = [x for x in shuffled_columns(got) + [x for _, plan in plans for x in plan] if "evidence_text" in x[1]]
+    assert not [by for by, _ in moved if "symbol" in by], moved
+    assert "evidence_text" not in str(dict(plans)["chosen"])
+    short = project_portfolio(*args, columns=["symbol", "project_name", "confidence", "status_code", "source_url"])
+    assert sorted(map(str, short.collect())) == sorted(map(str, got.select(*short.columns).collect()))
+    assert "evidence_text" not in str(shuffled_columns(short))
+
+
 def test_keep_best_first_seen_wins_ties(spark):
     rows = spark.createDataFrame(
         [("A", "Hope", 0.8, "xx", 1), ("A", "HOPE", 0.8, "yy", 0), ("A", "hope", 0.8, "x", 2), ("A", "Other", 0.6, "", 3)],
